@@ -8,7 +8,8 @@ similarity t, then of the n bits of the smaller at most e = n - ceil(2t / (1 + t
    its bits), one of which is whole in every text that misses fewer than j of these bits. Dynamic programming chooses the
    thresholds so that all units come to e + 1 at the least estimated number of candidates; by the pigeonhole
    principle no pair of texts is lost, whatever the estimates. Where pairs don't suffice, single bits are probed.
-3. Texts no smaller are looked up by every pair of bits of a partition, and candidates are verified exactly.
+3. Texts no smaller are looked up by every pair of bits of a partition. A bitmap beside each key rejects most chance meetings where
+   they are made: two bitmaps never differ in more places than the sets do, so this loses nothing. Candidates are verified exactly.
 """
 
 from __future__ import annotations
@@ -49,8 +50,9 @@ class NearConfig:
 _M = np.uint64(0xFF51AFD7ED558CCD)
 _N = np.uint64(0xC4CEB9FE1A85EC53)
 _S = np.uint64(33)
-#: Partitions of a text of more than this many sequences are parted further, in proportion to its size class.
-_BASE = 256
+_LONGS = 6
+#: Rows of about 80 bytes that are sent to every executor at most.
+_BROADCAST_ROWS = 200_000
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -91,8 +93,8 @@ def _anchors(hashes: np.ndarray, k: int, frequent: np.ndarray) -> np.ndarray:
 
 
 def size_class(n: int) -> int:
-    """Into how many further parts a partition falls: 1, 2, 4, ... as the text grows."""
-    return 1 << (n // _BASE).bit_length()
+    """Partitions of a text of n sequences: a power of two, so that about two anchors' sequences, on average, share a partition."""
+    return 1 << max(0, ceil(n / 1.9) - 1).bit_length()
 
 
 def size_classes(low: int, high: int) -> list[int]:
@@ -105,11 +107,9 @@ def size_classes(low: int, high: int) -> list[int]:
 
 def _partitions(bits: np.ndarray, anchors: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray]:
     """Bits ordered by partition, and the partition of each."""
-    group = anchors
-    top = anchors >> np.uint64(63) == 1
-    # sequences of frequent words alone: their partitions would be large
-    split = np.where(top, np.uint64(8 * parts), np.uint64(parts))
-    group = _mix(anchors + (bits % split) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(parts))
+    # sequences of frequent words alone have few anchors: these are spread over eight partitions each
+    spread = np.where(anchors >> np.uint64(63) == 1, bits % np.uint64(8), np.uint64(0))
+    group = _mix(anchors + spread * np.uint64(0x9E3779B97F4A7C15)) % np.uint64(parts) + np.uint64(parts)
     order = np.lexsort((bits, group))
     return bits[order], group[order]
 
@@ -132,6 +132,13 @@ def _pairs(bits: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return i, j, _mix(bits[i] * np.uint64(3) + _mix(bits[j] + group[j]))
 
 
+def bitmap(bits: np.ndarray) -> np.ndarray:
+    """Which remainders the bits leave, as longs."""
+    marks = np.zeros(64 * _LONGS, dtype=np.uint8)
+    marks[(bits % np.uint64(64 * _LONGS)).astype(np.int64)] = 1
+    return np.packbits(marks).view(np.int64)
+
+
 def missing(n: int, t: float) -> int:
     """How many of the smaller text's n bits may be missing in the larger."""
     f = Fraction(t).limit_denominator(10**6)
@@ -284,7 +291,7 @@ def near_duplicates(texts: DataFrame, config: NearConfig = NearConfig(), id: str
 
     def index_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, sizes, out = batch.column(0), [], []
+            ids, sizes, out, maps = batch.column(0), [], [], []
             for b, a in zip(batch.column(1), batch.column(2), strict=True):
                 bits = b.values.to_numpy(zero_copy_only=False).view(np.uint64)
                 anchors = a.values.to_numpy(zero_copy_only=False).view(np.uint64)
@@ -292,9 +299,12 @@ def near_duplicates(texts: DataFrame, config: NearConfig = NearConfig(), id: str
                 keys = [_pairs(*_partitions(bits, anchors, parts))[2] for parts in size_classes(ceil(t * n), n)]
                 sizes.append(n)
                 out.append(np.concatenate(keys).view(np.int64))
-            yield pa.RecordBatch.from_arrays([ids, pa.array(sizes, pa.int64()), batch.column(1), batch.column(2), pa.array(out, pa.list_(pa.int64()))], names=["id", "n", "bits", "anchors", "keys"])
+                maps.append(bitmap(bits))
+            marks = np.stack(maps) if maps else np.empty((0, _LONGS), dtype=np.int64)
+            yield pa.RecordBatch.from_arrays([ids, pa.array(sizes, pa.int64()), batch.column(1), batch.column(2), pa.array(out, pa.list_(pa.int64())), *(pa.array(m) for m in marks.T)], names=["id", "n", "bits", "anchors", "keys", *marked])
 
-    indexed = checkpoint(reps.mapInArrow(index_keys, "id bigint, n bigint, bits array<bigint>, anchors array<bigint>, keys array<bigint>"))
+    marked = [f"m{k}" for k in range(_LONGS)]
+    indexed = checkpoint(reps.mapInArrow(index_keys, "id bigint, n bigint, bits array<bigint>, anchors array<bigint>, keys array<bigint>, " + ", ".join(f"{m} bigint" for m in marked)))
     total = indexed.count()
     every = max(1, total // config.sample)
     some = indexed.where(F.pmod(F.xxhash64("id"), F.lit(every)) == 0).select(F.explode("keys").alias("key"))
@@ -312,18 +322,25 @@ def near_duplicates(texts: DataFrame, config: NearConfig = NearConfig(), id: str
                 pairs.append(p.view(np.int64))
                 singles.append(s.view(np.int64))
             lists = pa.list_(pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(3), pa.array(pairs, lists), pa.array(singles, lists)], names=["id", "n", "pairs", "singles"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:1], *batch.columns[3:], pa.array(pairs, lists), pa.array(singles, lists)], names=["id", "n", *marked, "pairs", "singles"])
 
     lists = ArrayType(LongType())
-    probing = checkpoint(indexed.select("id", "bits", "anchors", "n").mapInArrow(probe_keys, StructType([StructField("id", LongType()), StructField("n", LongType()), StructField("pairs", lists), StructField("singles", lists)])))
-    near = F.expr(f"(n_b < n_a or n_b = n_a and b < a) and n_b >= {t} * n_a - 1e-9")
-
-    def look_up(asked: str, held: str) -> DataFrame:
-        ask = probing.select(F.col("id").alias("b"), F.col("n").alias("n_b"), F.explode(asked).alias("key"))
-        hold = indexed.select(F.col("id").alias("a"), F.col("n").alias("n_a"), F.explode(held).alias("key"))
-        return hold.join(ask, "key").where(near).select("a", "b")
-
-    candidates = look_up("pairs", "keys").unionByName(look_up("singles", "bits")).distinct()
+    probing = checkpoint(indexed.select("id", "bits", "anchors", "n", *marked).mapInArrow(probe_keys, StructType([StructField(c, LongType()) for c in ("id", "n", *marked)] + [StructField(c, lists) for c in ("pairs", "singles")])))
+    differ = " + ".join(f"bit_count({m}_a ^ {m}_b)" for m in marked)
+    allowed = f"n_a + n_b - 2 * ceil({t / (1 + t)} * (n_a + n_b) - 1e-6)"
+    near = F.expr(f"(n_b < n_a or n_b = n_a and b < a) and n_b >= {t} * n_a - 1e-9 and {differ} <= {allowed}")
+
+    def look_up(asked: str, held: str, few: bool = False) -> DataFrame:
+        ask = probing.select(F.col("id").alias("b"), F.col("n").alias("n_b"), *[F.col(m).alias(f"{m}_b") for m in marked], F.explode(asked).alias("key"))
+        hold = indexed.select(F.col("id").alias("a"), F.col("n").alias("n_a"), *[F.col(m).alias(f"{m}_a") for m in marked], F.explode(held).alias("key"))
+        return hold.join(F.broadcast(ask) if few else ask, "key").where(near).select("a", "b")
+
+    # texts whose pairs don't suffice are few as a rule; where their single bits are many, they are joined as the pairs are
+    lone = probing.agg(F.coalesce(F.sum(F.size("singles")), F.lit(0))).first()[0]
+    candidates = look_up("pairs", "keys")
+    if lone:
+        candidates = candidates.unionByName(look_up("singles", "bits", lone <= _BROADCAST_ROWS))
+    candidates = candidates.distinct()
     left = indexed.select(F.col("id").alias("a"), F.col("bits").alias("bits_a"))
     right = indexed.select(F.col("id").alias("b"), F.col("bits").alias("bits_b"))
     shared = candidates.join(left, "a").join(right, "b").withColumn("_shared", F.size(F.array_intersect("bits_a", "bits_b")))
