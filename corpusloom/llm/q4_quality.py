@@ -48,7 +48,7 @@ def reasons(spark: SparkSession, folder: str) -> DataFrame:
 def preview_sizes(spark: SparkSession, folder: str) -> DataFrame:
     """Words, common words and lines of the abstracts as they stand in previews."""
     one = load(spark, folder, "previews").where("index is not null and elements is not null").groupBy("index").agg(F.min("elements").alias("elements"))
-    texts = one.select("index", F.expr("filter(elements, e -> e.name = 'abstract' and e.text is not null)[0].text").alias("text")).where("text is not null")
+    texts = one.select("index", F.expr("get(filter(elements, e -> e.name = 'abstract' and e.text is not null), 0).text").alias("text")).where("text is not null")
     return quality.statistics(texts).select("index", "words", "lines", F.round("mean_word", 6).alias("mean_word"))
 
 
