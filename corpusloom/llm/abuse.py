@@ -67,25 +67,38 @@ def _token(token: str) -> str:
     return token
 
 
+class _Readings(dict):
+    """How tokens are read, kept for those seen lately."""
+
+    def __missing__(self, token: str) -> str:
+        if len(self) > 500_000:
+            self.clear()
+        value = self[token] = _token(_DRAWN_OUT.sub(r"\1", _JOINED.sub("", token)))
+        return value
+
+
+_READ = _Readings()
+
+
 def sentences(text: str | None, stretch: int = 40) -> list[list[str]]:
     """Words of each sentence, as they are read: spelling tricks (look-alikes, signs for letters, letters set apart or drawn out) undone."""
     if not text:
         return []
     if not text.isascii():
-        text = _INVISIBLE.sub("", unicodedata.normalize("NFKC", text))
-    text = text.lower()
-    if not text.isascii():
-        text = text.translate(_LOOKS)
-    out = []
+        text = _INVISIBLE.sub("", unicodedata.normalize("NFKC", text)).lower().translate(_LOOKS)
+    else:
+        text = text.lower()
+    text = _SPACED.sub(lambda m: _SEPARATORS.sub("", m.group()), text)
+    out: list[list[str]] = []
     for part in _SENTENCE.split(text):
-        part = _SPACED.sub(lambda m: _SEPARATORS.sub("", m.group()), part)
-        part = _DRAWN_OUT.sub(r"\1", _JOINED.sub("", part))
-        words = [_token(t) for t in _TOKEN.findall(part)]
+        words = [_READ[t] for t in _TOKEN.findall(part)]
         if out and len(out[-1]) < 3:  # an exclamation or a heading of a word or two belongs to what follows
             words = out.pop() + words
-        for k in range(0, len(words), stretch):
-            out.append(words[k : k + stretch])
-    return out
+        if len(words) <= stretch:
+            out.append(words)
+        else:
+            out += [words[k : k + stretch] for k in range(0, len(words), stretch)]
+    return [s for s in out if s]
 
 
 class _Bag:
