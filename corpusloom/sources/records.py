@@ -11,7 +11,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition, SimpleDataSourceStreamReader
+from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition, DataSourceStreamReader
 
 from ..config import MAX_RECORD_BYTES, TARGET_RECORD_BYTES, TextConfig, XmlConfig
 from ..errors import InvalidConfiguration, IoError, RecordError, XmlError
@@ -143,20 +143,24 @@ class RecordReader(DataSourceReader):
         return out
 
     def read(self, partition: FilePart) -> Iterator[pa.RecordBatch]:
-        name = os.path.basename(partition.path)
-        rows: list[tuple] = []
-        held = 0
-        try:
-            for local, (data, position) in enumerate(_part_records(partition, self.o, self.form)):
-                rows.append((name, partition.part, local, data, position))
-                held += len(data)
-                if held > _BATCH_BYTES:
-                    yield _batch(rows)
-                    rows, held = [], 0
-        except RecordError as e:
-            kind = "xml" if isinstance(e, XmlError) else "io" if isinstance(e, IoError) else "invalid"
-            raise RuntimeError(f"record-error|{kind}|{e.args[0]}|end") from e
-        yield _batch(rows)
+        return _read(partition, self.o, self.form)
+
+
+def _read(partition: FilePart, o: _Options, form: str) -> Iterator[pa.RecordBatch]:
+    name = os.path.basename(partition.path)
+    rows: list[tuple] = []
+    held = 0
+    try:
+        for local, (data, position) in enumerate(_part_records(partition, o, form)):
+            rows.append((name, partition.part, local, data, position))
+            held += len(data)
+            if held > _BATCH_BYTES:
+                yield _batch(rows)
+                rows, held = [], 0
+    except RecordError as e:
+        kind = "xml" if isinstance(e, XmlError) else "io" if isinstance(e, IoError) else "invalid"
+        raise RuntimeError(f"record-error|{kind}|{e.args[0]}|end") from e
+    yield _batch(rows)
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
@@ -164,36 +168,29 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(v, f.type) for v, f in zip(columns, _ARROW, strict=True)], schema=_ARROW)
 
 
-class RecordStreamReader(SimpleDataSourceStreamReader):
-    """New files of a folder, one by one in order of name; the offset names the last one, so record numbers stay put."""
+class RecordStreamReader(DataSourceStreamReader):
+    """New files of a folder in order of name; the offset names the last one, so records keep their numbers. Files are read by tasks."""
 
     def __init__(self, options: dict, form: str) -> None:
         self.o, self.form = _Options(options), form
 
-    def initialOffset(self) -> dict:
-        return {"file": ""}
-
-    def _new(self, after: str, until: str | None = None) -> list[str]:
+    def _names(self) -> list[tuple[str, str]]:
         try:
-            files = self.o.files()
+            return [(os.path.basename(p), p) for p in self.o.files()]
         except IoError:
             return []
-        return [p for p in files if os.path.basename(p) > after and (until is None or os.path.basename(p) <= until)]
 
-    def _rows(self, paths: list[str]) -> Iterator[tuple]:
-        for path in paths:
-            for local, (data, position) in enumerate(_part_records(FilePart(path, 0, 0, None), self.o, self.form)):
-                yield os.path.basename(path), 0, local, data, position
+    def initialOffset(self) -> dict:
+        return {"file": ""}
 
-    def read(self, start: dict) -> tuple[Iterator[tuple], dict]:
-        paths = self._new(start["file"])[:1]
-        return self._rows(paths), {"file": os.path.basename(paths[0])} if paths else start
+    def latestOffset(self, *_: object) -> dict:
+        return {"file": max((n for n, _ in self._names()), default="")}
 
-    def readBetweenOffsets(self, start: dict, end: dict) -> Iterator[tuple]:
-        return self._rows(self._new(start["file"], end["file"]))
+    def partitions(self, start: dict, end: dict) -> list[FilePart]:
+        return [FilePart(p, 0, 0, None) for n, p in self._names() if start["file"] < n <= end["file"]]
 
-    def commit(self, end: dict) -> None:
-        pass
+    def read(self, partition: FilePart) -> Iterator[pa.RecordBatch]:
+        return _read(partition, self.o, self.form)
 
 
 class XmlRecords(DataSource):
@@ -211,7 +208,7 @@ class XmlRecords(DataSource):
     def reader(self, schema) -> RecordReader:  # noqa: ANN001
         return RecordReader(self.options, self.form)
 
-    def simpleStreamReader(self, schema) -> RecordStreamReader:  # noqa: ANN001
+    def streamReader(self, schema) -> RecordStreamReader:  # noqa: ANN001
         return RecordStreamReader(self.options, self.form)
 
 
@@ -259,3 +256,28 @@ def numbered_by(df: DataFrame, order: str, first: int = 0) -> DataFrame:
     return numbered(local, ("_part",), "_local", first).drop("_part", "_local")
 
 
+
+
+def scan_column(df: DataFrame, key: str, data: str, config: XmlConfig | TextConfig) -> DataFrame:
+    """key, local, bytes: the records of the XML or text that each row holds in a binary column, in order; errors as of a file."""
+    xml = isinstance(config, XmlConfig)
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys: list = []
+            local: list[int] = []
+            out: list[bytes] = []
+            for k, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                file = io.BytesIO(b)
+                found = xmltok.records(file.read, config.record_element, config.max_record_bytes) if xml else text_records(file, config.target_record_bytes)
+                try:
+                    for n, (record, _) in enumerate(found):
+                        keys.append(k)
+                        local.append(n)
+                        out.append(record)
+                except RecordError as e:
+                    raise RuntimeError(f"record-error|{'xml' if isinstance(e, XmlError) else 'io' if isinstance(e, IoError) else 'invalid'}|{e.args[0]}|end") from e
+            yield pa.RecordBatch.from_arrays([pa.array(keys, batch.schema.field(0).type), pa.array(local, pa.int64()), pa.array(out, pa.binary())], names=[key, "local", "bytes"])
+
+    chosen = df.select(key, F.col(data).cast("binary").alias("bytes")).where("bytes is not null")
+    return chosen.mapInArrow(cut, f"{key} {df.schema[key].dataType.simpleString()}, local bigint, bytes binary")
