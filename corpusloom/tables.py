@@ -38,3 +38,9 @@ def distinct_by(df: DataFrame, key: str, large: list[str]) -> DataFrame:
     order = [*large, *[c for c in rest if c not in large]]
     best = df.where(F.col(key).isNotNull()).groupBy(key).agg(F.min(F.struct(*[F.col(c) for c in order])).alias("_best"))
     return best.select(key, *[F.col(f"_best.{c}").alias(c) for c in rest])
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Over as many partitions as there are cores, where a small file would keep all but one idle; larger tables stay as they are read."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df._jdf.queryExecution().toRdd().getNumPartitions() >= cores else df.repartition(cores)
