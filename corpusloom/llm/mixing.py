@@ -39,7 +39,7 @@ def plan(sizes: DataFrame, targets: DataFrame) -> DataFrame:
     joined = targets_of(targets).join(sizes.where("source is not null"), "source", "left").crossJoin(everything)  # one row of totals
     joined = joined.withColumn("tokens", F.coalesce("tokens", F.lit(0)))
     needed = F.expr("case when tokens > 0 then (target_pct * all_tokens + 100 * tokens - 1) div (100 * tokens) end")
-    out = joined.withColumn("needed_passes", needed).withColumn("passes", F.least("needed_passes", "max_repeats"))
+    out = joined.withColumn("needed_passes", needed).withColumn("passes", F.when(F.col("tokens") > 0, F.least("needed_passes", "max_repeats")))
     out = out.withColumn("outcome", F.expr("case when tokens = 0 then 'empty' when needed_passes <= max_repeats then 'reached' else 'capped' end"))
     out = out.withColumn("planned_tokens", F.expr("least((target_pct * all_tokens + 99) div 100, coalesce(passes, 0) * tokens)"))
     total = out.agg(F.sum("planned_tokens").alias("planned_all"))
@@ -99,12 +99,13 @@ def mix(documents: DataFrame, targets: DataFrame, config: MixConfig = MixConfig(
     rng = np.random.default_rng(config.seed)
     # passes: (source, pass number, tokens wanted of it)
     wanted = [(r["source"], p, min(r["tokens"], r["planned_tokens"] - (p - 1) * r["tokens"]), r["tokens"]) for r in planned for p in range(1, r["passes"] + 1) if r["planned_tokens"] > (p - 1) * r["tokens"]]
-    tree = split_tree([config.blocks] * len(wanted), config.shards, rng) if wanted else np.zeros((config.shards, 0), dtype=np.int64)
+    # blocks that a pass is to use: all of them, or the first ones in proportion to its tokens
+    quotas = [max(1, -(-config.blocks * tokens // whole)) for _, _, tokens, whole in wanted]
+    tree = split_tree(quotas, config.shards, rng) if wanted else np.zeros((config.shards, 0), dtype=np.int64)
     passes = []
     for k, (name, number, tokens, whole) in enumerate(wanted):
-        order = rng.permutation(config.blocks)
-        shard_of = np.empty(config.blocks, dtype=np.int64)
-        shard_of[order] = np.repeat(np.arange(config.shards), tree[:, k])
+        shard_of = np.arange(config.blocks) % config.shards  # blocks past the quota, should its last one fall short
+        shard_of[rng.permutation(quotas[k])] = np.repeat(np.arange(config.shards), tree[:, k])
         passes.append((name, number, tokens < whole, tokens, shard_of.tolist()))
     drawn = spark.createDataFrame(passes, schema)
     documents_ = rows.where("_has and doc_id is not null and source is not null").drop("_has")

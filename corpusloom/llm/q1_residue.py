@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.markup import xml_elements
-from ..tables import distinct_by, load, records_with_form
+from ..tables import distinct_by, load, records_with_form, spread
 from . import residue
 
 #: Elements whose text is looked at, by record element.
@@ -40,7 +40,7 @@ def _records(spark: SparkSession, folder: str, once: bool) -> DataFrame:
 
 def _fragments(spark: SparkSession, folder: str) -> DataFrame:
     own = load(spark, folder, "fragments").where("fragment_id is not null and record is not null")
-    return own.select(F.lit("fragments").alias("src"), F.col("fragment_id").alias("item_id"), F.lit(None).cast("string").alias("host"), F.col("record").alias("text"))
+    return spread(own.select("fragment_id", "record")).select(F.lit("fragments").alias("src"), F.col("fragment_id").alias("item_id"), F.lit(None).cast("string").alias("host"), F.col("record").alias("text"))
 
 
 def found(spark: SparkSession, folder: str) -> DataFrame:

@@ -5,13 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..tables import load
+from ..tables import load, spread
 from .leakage import leaks
 
 
 def leaked(spark: SparkSession, folder: str) -> DataFrame:
     """Exact leaks and paraphrases with what speaks for them."""
-    return leaks(load(spark, folder, "documents").select("doc_id", "text"), load(spark, folder, "eval_items"))
+    return leaks(spread(load(spark, folder, "documents").select("doc_id", "text")), load(spark, folder, "eval_items"))
 
 
 def found(spark: SparkSession, folder: str) -> DataFrame:
