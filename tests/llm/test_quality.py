@@ -3,7 +3,7 @@ from corpusloom.llm import quality
 PROSE = "The archive at Leithall holds 883 letters about the tax, and the winding ones were studied in 1539. It was closed for the first time. " * 3
 CASES = {
     1: (PROSE, "prose"),
-    2: ("Index of names\n" + "\n".join(f"{k}) damp lock" for k in range(12)), "list"),
+    2: ("Index of names\n" + "\n".join(f"{k}) {a} lock" for k, a in enumerate("damp minor tidal copper early rare ornate gilded pale late".split())), "list"),
     3: ("Fakous 189; Wumeas 125; Lothan 199; Stock 308; Brougaeck 345; Greil 363", "list"),
     4: ('"1757";"prison";"70.57"\n"Dratheas";"1917";"1875"\n"1812";"Reasaesk";"67.18"', "table"),
     5: ("1798            20.25           5.30\nPeadum          1650            island\nkiln            14.05           x", "table"),
