@@ -32,6 +32,8 @@ class AbuseConfig:
     rounds: int = 3
     #: Nats a word above which a sentence of a labelled document is taken for its cause.
     margin: float = 0.5
+    #: Words of no weight that are added to a sentence's length, so that a chance meeting in two or three words counts little.
+    padding: int = 5
     #: Longer sentences are scored in stretches of so many words.
     stretch: int = 40
     seed: int = 3
@@ -172,28 +174,32 @@ class _Model:
 class Scorer:
     """The models of all classes over one vocabulary."""
 
-    def __init__(self, vocabulary: dict[str, int], by_class: dict[str, np.ndarray]) -> None:
-        self.vocabulary, self.size = vocabulary, len(vocabulary)
+    def __init__(self, vocabulary: dict[str, int], by_class: dict[str, np.ndarray], padding: int) -> None:
+        self.vocabulary, self.size, self.padding = vocabulary, len(vocabulary), padding
         every = np.unique(np.concatenate([t % (self.size * self.size) for t in by_class.values()]))
         counts = np.bincount(every % self.size, minlength=self.size).astype(np.float64)
         self.shared = (counts + 0.5) / (counts.sum() + 0.5 * self.size)
         self.models = {c: _Model(t, self.size) for c, t in by_class.items()}
         self.categories = [c for c in CATEGORIES if c in self.models]
-        self.thresholds = {c: 1.0 for c in self.categories}
+        self.thresholds = {c: 1.5 for c in self.categories}
 
-    def scores(self, bag: _Bag) -> np.ndarray:
-        """(sentences x categories) nats a word by which a category is likelier than ordinary language; empty sentences have -inf."""
-        out = np.full((len(bag.lengths), len(self.categories)), -np.inf)
+    def likelihoods(self, bag: _Bag, names: list[str]) -> np.ndarray:
+        """(sentences x classes) padded mean of the log-likelihoods of words; empty sentences have -inf."""
+        out = np.full((len(bag.lengths), len(names)), -np.inf)
         full = np.flatnonzero(bag.lengths)
-        if not len(full) or not self.categories:
-            return out
-        keys, inverse = np.unique(bag.trigrams, return_inverse=True)
-        ordinary = np.log(self.models[_ORDINARY].probability(keys, self.size, self.shared))
-        for k, c in enumerate(self.categories):
-            ratio = (np.log(self.models[c].probability(keys, self.size, self.shared)) - ordinary)[inverse]
-            out[full, k] = np.add.reduceat(ratio, bag.first[full]) / bag.lengths[full]
+        if len(full) and names:
+            keys, inverse = np.unique(bag.trigrams, return_inverse=True)
+            for k, c in enumerate(names):
+                logs = np.log(self.models[c].probability(keys, self.size, self.shared))[inverse]
+                out[full, k] = np.add.reduceat(logs, bag.first[full]) / (bag.lengths[full] + self.padding)
         return out
 
+    def scores(self, bag: _Bag) -> np.ndarray:
+        """(sentences x categories) nats a word by which a category is likelier than ordinary language; empty sentences have -inf."""
+        found = self.likelihoods(bag, [_ORDINARY, *self.categories])
+        with np.errstate(invalid="ignore"):
+            return np.where(np.isfinite(found[:, 1:]), found[:, 1:] - found[:, :1], -np.inf)
+
     def documents(self, bag: _Bag, number: int) -> np.ndarray:
         """(documents x categories) highest score; a sentence speaks for its likeliest category, and against the others by the distance."""
         out = np.full((number, len(self.categories)), -np.inf)
@@ -210,26 +216,51 @@ def _train(documents: list[list[list[str]]], labels: list[set[str]], config: Abu
         return None
     seen: Counter[str] = Counter(w for d in documents for w in {w for s in d for w in s})
     vocabulary = {"<s>": 0, "<unk>": 1} | {w: n for n, w in enumerate(sorted(w for w, n in seen.items() if n > 1), 2)}
-    bag = _Bag(documents, vocabulary)
-    clean = np.array([not x for x in labels])[bag.owners]
-    belongs = {c: np.array([c in x for x in labels])[bag.owners] for c in present}
-    chosen = {c: belongs[c] for c in present}
-    for turn in range(config.rounds + 1):
-        rest = clean if turn == 0 else ~np.logical_or.reduce(list(chosen.values()))
-        scorer = Scorer(vocabulary, {_ORDINARY: bag.of(rest), **{c: bag.of(chosen[c]) for c in present}})
-        if turn == config.rounds:
-            return scorer
-        scores = scorer.scores(bag)
-        allowed = np.stack([np.where(belongs[c], scores[:, k], -np.inf) for k, c in enumerate(scorer.categories)], axis=1)
+    clean = _Bag([d for d, x in zip(documents, labels, strict=True) if not x], vocabulary)
+    marked = [(d, x) for d, x in zip(documents, labels, strict=True) if x]
+    bag = _Bag([d for d, _ in marked], vocabulary)
+    belongs = np.stack([np.array([c in x for _, x in marked])[bag.owners] for c in present], axis=1)
+    chosen = belongs.copy()
+    half = np.random.default_rng(config.seed).permutation(len(marked))[bag.owners] % 2 == 0
+    everything = np.ones(len(clean.lengths), dtype=bool)
+
+    def scorer(among: np.ndarray, first: bool) -> Scorer:
+        # documents of the first turn are not yet told apart from the sentences that earn their labels
+        rest = bag.of(~chosen.any(axis=1) & among) if not first else bag.trigrams[:0]
+        classes = {_ORDINARY: np.concatenate((clean.of(everything), rest)), **{c: bag.of(chosen[:, k] & among) for k, c in enumerate(present)}}
+        return Scorer(vocabulary, {c: t for c, t in classes.items() if len(t) or c == _ORDINARY}, config.padding)
+
+    for turn in range(config.rounds):
+        # a sentence is judged by models that have not seen its document, else each would speak for itself
+        scores = np.full(belongs.shape, -np.inf)
+        ordinary = np.zeros(len(bag.lengths))
+        for side in (half, ~half):
+            other = scorer(~side, turn == 0)
+            found = other.likelihoods(bag, [_ORDINARY, *other.categories])
+            ordinary[side] = found[side, 0]
+            for k, c in enumerate(other.categories):
+                with np.errstate(invalid="ignore"):
+                    scores[side, present.index(c)] = (found[:, k + 1] - found[:, 0])[side]
+        scores = np.where(np.isfinite(scores), scores, -np.inf)
+        allowed = np.where(belongs, scores, -np.inf)
         winner = allowed.argmax(axis=1)
-        for k, c in enumerate(scorer.categories):
+        new = np.zeros_like(chosen)
+        for k in range(len(present)):
             keep = (winner == k) & (allowed[:, k] > config.margin)
-            # a labelled document keeps at least its likeliest sentence
-            own = np.flatnonzero(belongs[c] & (bag.lengths > 0))
-            order = own[np.lexsort((-scores[own, k], bag.owners[own]))]
-            keep[order[np.concatenate(([True], bag.owners[order][1:] != bag.owners[order][:-1]))]] = True
-            chosen[c] = keep
-    return None
+            # a labelled document keeps at least one sentence: the likeliest, or where none is, the least ordinary
+            own = np.flatnonzero(belongs[:, k] & (bag.lengths > 0))
+            rank = np.where(scores[own, k] > config.margin / 2, 100 + scores[own, k], -np.where(bag.lengths[own] > 2, ordinary[own], 0))
+            order = own[np.lexsort((-rank, bag.owners[own]))]
+            best = order[np.concatenate(([True], bag.owners[order][1:] != bag.owners[order][:-1]))] if len(order) else order
+            without = np.setdiff1d(bag.owners[best], bag.owners[keep])
+            keep[best[np.isin(bag.owners[best], without)]] = True
+            new[:, k] = keep
+        chosen = new
+    return scorer(np.ones(len(bag.lengths), dtype=bool), False)
+
+
+#: Thresholds stay in these bounds: labelled documents are richer in cases than others, and halves know fewer expressions than the whole.
+_THRESHOLDS = (1.5, 2.0)
 
 
 def _threshold(scores: np.ndarray, truth: np.ndarray) -> float:
@@ -239,7 +270,7 @@ def _threshold(scores: np.ndarray, truth: np.ndarray) -> float:
     f = 2 * hits / (np.arange(1, len(order) + 1) + truth.sum())
     best = int(f.argmax())
     low = scores[order[best + 1]] if best + 1 < len(order) else scores[order[best]] - 1
-    return float(np.clip((scores[order[best]] + low) / 2, 0.1, 3.0))
+    return float(np.clip((scores[order[best]] + low) / 2, *_THRESHOLDS))
 
 
 def fit(labelled: list[tuple[str | None, set[str]]], config: AbuseConfig = AbuseConfig()) -> Scorer | None:
