@@ -28,7 +28,7 @@ def statistics(texts: DataFrame, key: str = "index", text: str = "text") -> Data
     """One row of statistics for each row with a key.
 
     key, chars, words, letters, mean_word, symbols_per_word, alpha_words, common_share, common_distinct, lines, line_words, punctuated_lines,
-    bullet_lines, ellipsis_lines, repeated_lines, sentence_ends, cells, separators, digits_share, odd_share, long_words. A null text has
+    bullet_lines, ellipsis_lines, repeated_lines, sentence_ends, cells, separators, digits_share, odd_share, long_words, plain_words, broken_words, vowelless. A null text has
     the statistics of an empty one; shares of nothing are 0. Repeated rows come out as often. Other columns are ignored.
     """
     t = F.coalesce(F.regexp_replace(F.regexp_replace(F.coalesce(F.col(text), F.lit("")), "\r\n?", "\n"), _MARKUP, " "), F.lit(""))
@@ -67,6 +67,7 @@ def statistics(texts: DataFrame, key: str = "index", text: str = "text") -> Data
         share(visible - F.col("letters") - F.col("digits") - count(F.col("t"), r"[.,;:!?'’\"()\-]"), visible).alias("odd_share"),
         count(F.col("t"), r"\S{40,}").alias("long_words"),
         share(count(F.col("t"), r"(?<!\S)\p{Lu}?\p{Ll}{2,}(?=[\s.,;:!?]|$)"), words).alias("plain_words"),
+        share(count(F.regexp_replace("t", r"\[\[[^\[\]]*\]\]|\{\{[^{}]*\}\}", " "), r"\p{L}[^\p{L}\p{N}\s.,'’\-_&/\\<>()\[\]{}=*\"^$]\p{L}|\p{L}\p{N}\p{L}"), words).alias("broken_words"),
         share(count(F.col("low"), r"(?<![\p{L}\p{N}])[bcdfghjklmnpqrstvwxz]{4,}"), words).alias("vowelless"),
     )
 
@@ -91,12 +92,13 @@ def judged(stats: DataFrame) -> DataFrame:
     return stats.withColumn("reasons", F.filter(F.array(*[F.when(F.expr(rule), F.lit(name)) for name, rule in RULES.items()]), lambda x: x.isNotNull()))
 
 
-#: What a text mostly is. Prose has common words in every sentence; of the rest, tables have rows of cells, junk has odd signs,
-#: words without vowels or overlong ones, or the same line again and again, and lists have short lines or many separators.
+#: What a text mostly is. Prose has common words in every sentence and whole words; of the rest, tables have rows of cells, junk has odd
+#: signs within words, words without vowels or overlong ones, or the same line again and again, and lists have short lines or many separators.
 KIND = """case
-  when words > 0 and common_share >= 0.3 and repeated_lines <= 0.5 then 'prose'
-  when words > 0 and lines >= 2 and cells >= 0.5 then 'table'
-  when words = 0 or lines >= 3 and repeated_lines >= 0.4 or vowelless > 0.2 or odd_share > 0.15 or mean_word > 12 then 'junk'
+  when words = 0 or broken_words > 0.15 and cells * lines < 2 then 'junk'
+  when common_share >= 0.15 and repeated_lines <= 0.5 then 'prose'
+  when lines >= 2 and cells >= 0.5 then 'table'
+  when lines >= 3 and repeated_lines >= 0.4 or vowelless > 0.2 or odd_share > 0.15 or mean_word > 12 then 'junk'
   when lines >= 3 and line_words <= 8 or separators * 6 >= words then 'list'
   else 'junk' end"""
 
