@@ -18,6 +18,8 @@ from . import records
 VERSION = 1
 #: Bytes that follow each record in the flat form.
 SEPARATOR = b"\n\n"
+#: Checkpoints that are ordered together.
+SPAN = 100_000
 
 
 def text_files(folder: str) -> list[str]:
@@ -37,12 +39,14 @@ def file_ranges(rows: DataFrame) -> DataFrame:
 def checkpoints(rows: DataFrame, interval: int) -> DataFrame:
     """index (of the next record), position (byte in the flat form) after every ``interval`` records.
 
-    Sizes are added up per block of records between two checkpoints first, so what is ordered in one place is small.
+    Sizes are added up per block of records between two checkpoints, and per span of blocks; only the spans are ordered in one place.
     """
     checkpoint_interval(interval)
     blocks = rows.groupBy(F.expr(f"index div {interval}").alias("_block")).agg(F.count("*").alias("_n"), F.sum(F.octet_length("bytes") + len(SEPARATOR)).alias("_bytes"))
-    ended = blocks.withColumn("position", F.expr("sum(_bytes) over (order by _block)")).where(F.col("_n") == interval)
-    return ended.select(((F.col("_block") + 1) * interval).alias("index"), "position")
+    blocks = blocks.withColumn("_span", F.expr(f"_block div {SPAN}"))
+    spans = blocks.groupBy("_span").agg(F.sum("_bytes").alias("_all")).withColumn("_before", F.expr("sum(_all) over (order by _span) - _all")).drop("_all")
+    ended = blocks.withColumn("_within", F.expr("sum(_bytes) over (partition by _span order by _block)")).join(spans, "_span").where(F.col("_n") == interval)
+    return ended.select(((F.col("_block") + 1) * interval).alias("index"), (F.col("_before") + F.col("_within")).alias("position"))
 
 
 class FolderSource:
