@@ -38,7 +38,7 @@ class LeakConfig:
     #: Documents on which the decomposition is fitted; document frequencies count all of them.
     sample: int = 8192
     #: Items are a stated query set, held whole by every task; more of them are refused.
-    max_items: int = 100_000
+    max_items: int = 20_000
     seed: int = 5
 
     def __post_init__(self) -> None:
@@ -197,8 +197,9 @@ class _Search:
         chosen = np.flatnonzero((count >= size) & ~last)
         found: list[tuple[np.ndarray, ...]] = []
         end = np.concatenate((at[1:], [len(codes)]))
-        for k in range(0, len(chosen), 2048):
-            these = chosen[k : k + 2048]
+        step = max(16, 4_000_000 // self.vectors.shape[1])  # products of a chunk take 16 MB
+        for k in range(0, len(chosen), step):
+            these = chosen[k : k + step]
             stop = np.where(goes_on[these], end[np.minimum(these + 1, len(end) - 1)], end[these])
             spans = stop - at[these]
             inside = np.arange(spans.sum()) - np.repeat(np.cumsum(spans) - spans, spans) + np.repeat(at[these], spans)
