@@ -31,7 +31,13 @@ def _ship(spark: SparkSession) -> None:
     if spark.sparkContext.master.startswith("local[") or getattr(spark.sparkContext, "_corpusloom_shipped", False):
         return
     root = Path(__file__).parent
-    target = os.path.join(tempfile.mkdtemp(prefix="corpusloom-"), "corpusloom.zip")
+    shared = spark.sparkContext.getConf().get("spark.checkpoint.dir") or ""
+    if shared.startswith(("file:", "/")):
+        folder = os.path.join("/" + shared.removeprefix("file:").lstrip("/"), f"corpusloom-{spark.sparkContext.applicationId}")
+        os.makedirs(folder, exist_ok=True)
+    else:  # the driver's own copy, from which Spark serves the executors
+        folder = tempfile.mkdtemp(prefix="corpusloom-")
+    target = os.path.join(folder, "corpusloom.zip")
     with zipfile.ZipFile(target, "w") as out:
         for path in sorted(root.rglob("*.py")):
             out.write(path, path.relative_to(root.parent))
