@@ -16,6 +16,7 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition,
 from ..config import MAX_RECORD_BYTES, TARGET_RECORD_BYTES, TextConfig, XmlConfig
 from ..errors import InvalidConfiguration, IoError, RecordError, XmlError
 from ..functions import textsplit, xmltok
+from ..session import checkpoint
 
 SCHEMA = "filename string, part int, local bigint, bytes binary, position bigint"
 _ARROW = pa.schema([("filename", pa.string()), ("part", pa.int32()), ("local", pa.int64()), ("bytes", pa.binary()), ("position", pa.int64())])
@@ -250,12 +251,18 @@ def numbered(rows: DataFrame, order: tuple[str, ...] = ("filename", "part"), loc
 
 
 def numbered_by(df: DataFrame, order: str, first: int = 0) -> DataFrame:
-    """With ``index`` by a unique sortable column: ranged partitions are sorted each for itself and offset by the counts before."""
-    parts = df.repartitionByRange(F.col(order)).sortWithinPartitions(order).withColumn("_part", F.spark_partition_id())
-    local = parts.withColumn("_local", F.expr(f"row_number() over (partition by _part order by {order}) - 1"))
+    """With ``index`` by a unique sortable column: ranged partitions are sorted each for itself and offset by the counts before.
+
+    The sorted partitions are checkpointed: were they made anew for the counts and for the rows, their bounds could differ.
+    """
+    places = (1 << 33) - 1  # an increasing id holds the partition above its 33 bits of place
+    ranged = checkpoint(df.repartitionByRange(_partitions(df), F.col(order)).sortWithinPartitions(order).withColumn("_id", F.monotonically_increasing_id()))
+    local = ranged.withColumns({"_part": F.shiftright("_id", 33), "_local": F.col("_id").bitwiseAND(F.lit(places))}).drop("_id")
     return numbered(local, ("_part",), "_local", first).drop("_part", "_local")
 
 
+def _partitions(df: DataFrame) -> int:
+    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), df._jdf.queryExecution().toRdd().getNumPartitions())
 
 
 def scan_column(df: DataFrame, key: str, data: str, config: XmlConfig | TextConfig) -> DataFrame:

@@ -192,3 +192,13 @@ def test_stream(spark, tmp_path):
     rows = spark.read.parquet(table).orderBy("index").collect()
     assert [(r["index"], bytes(r["bytes"])) for r in rows] == [(0, b"<page>one</page>"), (1, b"<page>two</page>"), (2, b"<page>three two</page>")]
     assert folder_stream.matching_records(spark.read.parquet(table), "two").count() == 2
+
+
+def test_numbers_follow_the_order_at_any_partitioning(spark):
+    df = spark.createDataFrame([((k * 7919) % 5003,) for k in range(5003)], "k int").repartition(7)
+    for n in ("3", "50"):
+        before = spark.conf.get("spark.sql.shuffle.partitions")
+        spark.conf.set("spark.sql.shuffle.partitions", n)
+        rows = records.numbered_by(df, "k", first=5).collect()
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+        assert sorted((r["k"], r["index"]) for r in rows) == [(k, k + 5) for k in range(5003)]
