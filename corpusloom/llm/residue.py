@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..errors import InvalidConfiguration
+from ..session import checkpoint
 
 KINDS = ("html", "markdown", "wiki", "latex")
 
@@ -421,7 +422,8 @@ def cleaned(parsed_items: DataFrame, config: ResidueConfig = ResidueConfig()) ->
 
     Items must come once; an item that is template all over has an empty text.
     """
-    found = templates(parsed_items, config)
+    parsed_items = checkpoint(parsed_items)  # counted and cleaned, but parsed once
+    found = checkpoint(templates(parsed_items, config))
     few = found.limit(config.max_broadcast + 1).count() <= config.max_broadcast
     per_host = found.groupBy("host").agg(F.collect_set("hash").alias("_template"))
     joined = parsed_items.join(F.broadcast(per_host) if few else per_host, "host", "left")
