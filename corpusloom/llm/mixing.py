@@ -9,7 +9,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..errors import InvalidConfiguration
@@ -35,15 +35,16 @@ def plan(sizes: DataFrame, targets: DataFrame) -> DataFrame:
     without tokens), passes (at most max_repeats), outcome (reached, capped, or empty where the source has no tokens),
     planned_tokens (what the mix takes), planned_pct (of all that is taken).
     """
-    everything = sizes.agg(F.coalesce(F.sum("tokens"), F.lit(0)).alias("all_tokens"))
-    joined = targets_of(targets).join(sizes.where("source is not null"), "source", "left").crossJoin(everything)  # one row of totals
-    joined = joined.withColumn("tokens", F.coalesce("tokens", F.lit(0)))
+    # totals are taken by windows over the few rows of sources, so that the documents are read once
+    every = Window.partitionBy()
+    sized = sizes.withColumn("all_tokens", F.sum("tokens").over(every)).where("source is not null")
+    out = targets_of(targets).join(sized, "source", "left").withColumn("tokens", F.coalesce("tokens", F.lit(0)))
+    out = out.withColumn("all_tokens", F.coalesce(F.max("all_tokens").over(every), F.lit(0)))
     needed = F.expr("case when tokens > 0 then (target_pct * all_tokens + 100 * tokens - 1) div (100 * tokens) end")
-    out = joined.withColumn("needed_passes", needed).withColumn("passes", F.when(F.col("tokens") > 0, F.least("needed_passes", "max_repeats")))
+    out = out.withColumn("needed_passes", needed).withColumn("passes", F.when(F.col("tokens") > 0, F.least("needed_passes", "max_repeats")))
     out = out.withColumn("outcome", F.expr("case when tokens = 0 then 'empty' when needed_passes <= max_repeats then 'reached' else 'capped' end"))
     out = out.withColumn("planned_tokens", F.expr("least((target_pct * all_tokens + 99) div 100, coalesce(passes, 0) * tokens)"))
-    total = out.agg(F.sum("planned_tokens").alias("planned_all"))
-    return out.crossJoin(total).withColumn("planned_pct", F.expr("100 * planned_tokens / planned_all")).drop("planned_all")
+    return out.withColumn("planned_pct", F.expr("100 * planned_tokens / sum(planned_tokens) over ()"))
 
 
 def sizes_of(documents: DataFrame, text: str = "text", source: str = "source") -> DataFrame:
@@ -110,7 +111,8 @@ def mix(documents: DataFrame, targets: DataFrame, config: MixConfig = MixConfig(
     drawn = spark.createDataFrame(passes, schema)
     documents_ = rows.where("_has and doc_id is not null and source is not null").drop("_has")
     block = F.pmod(F.xxhash64("doc_id", "pass", F.lit(config.seed)), F.lit(config.blocks)).cast("int")
-    placed = documents_.join(F.broadcast(drawn), "source").withColumn("block", block)  # at most MAX_SOURCES sources, each a few passes
+    # at most MAX_SOURCES sources, each a few passes; the shards of blocks are looked up last, so no row carries them
+    placed = documents_.join(F.broadcast(drawn.drop("shard_of")), "source").withColumn("block", block)
     last = placed.where("part")
     # the partial pass takes blocks in order until its tokens are reached; only the block where that happens is ordered by document
     totals = last.groupBy("source", "pass", "quota", "block").agg(F.sum("tokens").alias("n"))
@@ -118,7 +120,8 @@ def mix(documents: DataFrame, targets: DataFrame, config: MixConfig = MixConfig(
     kept = last.join(before, ["source", "pass", "block"])
     run = F.expr("sum(tokens) over (partition by source, pass, block order by xxhash64(doc_id), doc_id) - tokens")
     kept = kept.withColumn("_run", F.col("before") + run).where("_run < quota")
-    both = placed.where("not part").unionByName(kept.drop("before", "_run"))
+    both = placed.where("not part").unionByName(kept.drop("before", "_run")).drop("part", "quota")
+    both = both.join(F.broadcast(drawn.select("source", "pass", "shard_of")), ["source", "pass"])
     place = F.xxhash64("doc_id", "pass", F.lit(config.seed + 1)).alias("place")
     return both.select("doc_id", "source", "pass", "tokens", F.col("shard_of")[F.col("block")].alias("shard"), place)
 

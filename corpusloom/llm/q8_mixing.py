@@ -14,7 +14,7 @@ def _documents(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def planned(spark: SparkSession, folder: str) -> DataFrame:
-    return mixing.plan(mixing.sizes_of(_documents(spark, folder)), load(spark, folder, "mix_targets")).select("source", "target_pct", "max_repeats", "tokens", "needed_passes", "passes", "outcome")
+    return mixing.plan(mixing.sizes_of(_documents(spark, folder)), load(spark, folder, "mix_targets")).select("source", "target_pct", "max_repeats", "tokens", F.coalesce("needed_passes", F.lit(0)).alias("needed_passes"), F.coalesce("passes", F.lit(0)).alias("passes"), "outcome")
 
 
 def found(spark: SparkSession, folder: str) -> DataFrame:
@@ -41,7 +41,7 @@ planned as (
   select t.source, t.target_pct, t.max_repeats, coalesce(s.tokens, 0)::bigint as tokens,
     case when s.tokens > 0 then ceil(t.target_pct * (select sum(tokens) from sizes) / (100.0 * s.tokens))::bigint end as needed_passes
   from mix_targets t left join sizes s on t.source = s.source)
-select source, target_pct, max_repeats, tokens, needed_passes, case when tokens > 0 then least(needed_passes, max_repeats) end as passes,
+select source, target_pct, max_repeats, tokens, coalesce(needed_passes, 0) as needed_passes, case when tokens > 0 then least(needed_passes, max_repeats) else 0 end as passes,
   case when tokens = 0 then 'empty' when needed_passes <= max_repeats then 'reached' else 'capped' end as outcome
 from planned"""
 SQL = {"p8_plan": _PLAN, "p8_found": f"select source, passes, outcome from ({_PLAN}) where needed_passes > 1"}
