@@ -34,8 +34,8 @@ def _record_items(records: DataFrame) -> DataFrame:
     return records.select("index", "corpus", "bytes", "form", "record_element").mapInArrow(read, "src string, item_id bigint, host string, text string").where("text is not null")
 
 
-def _records(spark: SparkSession, folder: str, once: bool) -> DataFrame:
-    return _record_items(records_with_form(spark, folder, F.expr("form = 'txt' or form = 'xml' and record_element in ('page', 'article')"), once=once))
+def _records(spark: SparkSession, folder: str) -> DataFrame:
+    return _record_items(records_with_form(spark, folder, F.expr("form = 'txt' or form = 'xml' and record_element in ('page', 'article')")))
 
 
 def _fragments(spark: SparkSession, folder: str) -> DataFrame:
@@ -43,21 +43,20 @@ def _fragments(spark: SparkSession, folder: str) -> DataFrame:
     return spread(own.select("fragment_id", "record")).select(F.lit("fragments").alias("src"), F.col("fragment_id").alias("item_id"), F.lit(None).cast("string").alias("host"), F.col("record").alias("text"))
 
 
-def found(spark: SparkSession, folder: str) -> DataFrame:
-    # deliveries of an item are equal, so the kinds are made distinct instead of the texts: next to nothing is shuffled
-    items = _records(spark, folder, once=False).unionByName(_fragments(spark, folder))
-    return residue.markup_of(residue.parsed(items, with_blocks=False))
-
-
 def clean(spark: SparkSession, folder: str) -> DataFrame:
     """The clean text of every item; records lose their corpus's template."""
-    items = _records(spark, folder, once=True).unionByName(distinct_by(_fragments(spark, folder), "item_id", ["text"]))
+    items = _records(spark, folder).unionByName(distinct_by(_fragments(spark, folder), "item_id", ["text"]))
     return residue.cleaned(residue.parsed(items))
 
 
+def found(spark: SparkSession, folder: str) -> DataFrame:
+    """The kinds of markup of every cleaned item, its template included."""
+    return residue.markup_of(clean(spark, folder))
+
+
 def templates(spark: SparkSession, folder: str) -> DataFrame:
     """The template subtrees of every corpus."""
-    return residue.templates(residue.parsed(_records(spark, folder, once=True)))
+    return residue.templates(residue.parsed(_records(spark, folder)))
 
 
 QUERIES = {"p1_found": found, "p1_clean": clean, "p1_templates": templates}

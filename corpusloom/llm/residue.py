@@ -378,29 +378,29 @@ _BLOCK = pa.struct([("kind", pa.string()), ("text", pa.string()), ("hash", pa.in
 PARSED = "src string, item_id bigint, host string, markup array<string>, blocks array<struct<kind string, text string, hash bigint, parts array<struct<text string, hash bigint>>>>"
 
 
-def parsed(items: DataFrame, with_blocks: bool = True) -> DataFrame:
+def parsed(items: DataFrame) -> DataFrame:
     """src, item_id, host, markup (kinds that occur, in order), blocks of (src, item_id, host, text).
 
     Null ids or texts give no rows, an empty text gives no kinds and no blocks. Rows are parsed one by one, so repeated ones come out as
-    often. Without ``with_blocks`` the tree isn't built and blocks are null. Other columns are ignored.
+    often. Other columns are ignored.
     """
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found, trees = [], []
             for text in batch.column(3).to_pylist():
-                kinds, own = blocks(text) if with_blocks else (scan(text).kinds, None)
+                kinds, own = blocks(text)
                 found.append([k for k in KINDS if k in kinds])
-                trees.append(own and [{"kind": k, "text": t, "hash": h, "parts": [{"text": a, "hash": b} for a, b in p]} for k, t, h, p in own])
+                trees.append([{"kind": k, "text": t, "hash": h, "parts": [{"text": a, "hash": b} for a, b in p]} for k, t, h, p in own])
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(found, pa.list_(pa.string())), pa.array(trees, pa.list_(_BLOCK))], names=["src", "item_id", "host", "markup", "blocks"])
 
     chosen = items.select("src", F.col("item_id").cast("bigint").alias("item_id"), "host", "text").where("item_id is not null and text is not null")
     return chosen.mapInArrow(parse, PARSED)
 
 
-def markup_of(parsed_items: DataFrame) -> DataFrame:
-    """src, item_id, markup: a row for each kind that occurs in an item, its template included; repeated items count once."""
-    return parsed_items.select("src", "item_id", F.explode("markup").alias("markup")).distinct()
+def markup_of(items: DataFrame) -> DataFrame:
+    """src, item_id, markup of parsed or cleaned items: a row for each kind that occurs in one, its template included; repeated items count once."""
+    return items.select("src", "item_id", F.explode("markup").alias("markup")).distinct()
 
 
 def templates(parsed_items: DataFrame, config: ResidueConfig = ResidueConfig()) -> DataFrame:
