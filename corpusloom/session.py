@@ -27,8 +27,8 @@ def tune(spark: SparkSession) -> SparkSession:
 
 
 def _ship(spark: SparkSession) -> None:
-    """Send the package's source to executors that may not share the driver's Python path; once a session."""
-    if spark.sparkContext.master.startswith("local[") or getattr(spark.sparkContext, "_corpusloom_shipped", False):
+    """Send the package's source to workers, which may not share the driver's Python path; once a session."""
+    if getattr(spark.sparkContext, "_corpusloom_shipped", False):
         return
     root = Path(__file__).parent
     shared = spark.sparkContext.getConf().get("spark.checkpoint.dir") or ""

@@ -16,7 +16,7 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition,
 from ..config import MAX_RECORD_BYTES, TARGET_RECORD_BYTES, TextConfig, XmlConfig
 from ..errors import InvalidConfiguration, IoError, RecordError, XmlError
 from ..functions import textsplit, xmltok
-from ..session import checkpoint
+from ..session import checkpoint, tune
 
 SCHEMA = "filename string, part int, local bigint, bytes binary, position bigint"
 _ARROW = pa.schema([("filename", pa.string()), ("part", pa.int32()), ("local", pa.int64()), ("bytes", pa.binary()), ("position", pa.int64())])
@@ -224,6 +224,7 @@ class TextRecords(XmlRecords):
 
 
 def register(spark: SparkSession) -> None:
+    tune(spark)
     spark.dataSource.register(XmlRecords)
     spark.dataSource.register(TextRecords)
 
