@@ -308,8 +308,11 @@ def labelled_sample(documents: DataFrame, labels: DataFrame, config: AbuseConfig
     """
     label = F.lower(F.trim("label"))
     own = labels.select("doc_id", label.alias("label")).where(F.col("label").isin(*CATEGORIES, _ORDINARY)).distinct()
-    rank = F.expr("row_number() over (partition by label order by xxhash64(doc_id), doc_id)")
-    ids = own.withColumn("_rank", rank).where(F.col("_rank") <= config.max_labelled).groupBy("doc_id").agg(F.collect_set("label").alias("labels"))
+    # a label that most rows have is ranked in parts first, of which each keeps no more than the whole may
+    own = own.withColumns({"_hash": F.xxhash64("doc_id"), "_part": F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(64))})
+    for parts in ("label, _part", "label"):
+        own = own.withColumn("_rank", F.expr(f"row_number() over (partition by {parts} order by _hash, doc_id)")).where(F.col("_rank") <= config.max_labelled)
+    ids = own.groupBy("doc_id").agg(F.collect_set("label").alias("labels"))
     # at most four times max_labelled rows: the bounded side is sent to the documents, and what comes back is as bounded
     rows = documents.select("doc_id", "text").join(F.broadcast(ids), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.first("labels").alias("labels")).orderBy("doc_id").collect()
     return [(r["text"], {x for x in r["labels"] if x != _ORDINARY}) for r in rows]
