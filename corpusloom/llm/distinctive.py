@@ -59,10 +59,11 @@ def statistics(counts: DataFrame) -> DataFrame:
     """term, df (records), cf (occurrences), records (all), residual: over all rows of (index, term, tf)."""
     # a term stands once per record, so counting is a plain sum with map-side combination; the null term counts the records
     every = counts.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
-    records, terms = every.where("term is null").select(F.col("df").alias("records")), every.where("term is not null")
+    records = every.where("term is null").select("df").scalar()
+    terms = every.where("term is not null").withColumn("records", records)
     observed = -F.log2(F.col("df") / F.col("records"))
     expected = -F.log2(-F.expm1(-F.col("cf") / F.col("records")))
-    return terms.crossJoin(F.broadcast(records)).withColumn("residual", observed - expected)  # records is one row
+    return terms.withColumn("residual", observed - expected)
 
 
 def scores(counts: DataFrame) -> DataFrame:

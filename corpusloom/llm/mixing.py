@@ -129,5 +129,5 @@ def mix(documents: DataFrame, targets: DataFrame, config: MixConfig = MixConfig(
 def shares(mixed: DataFrame, targets: DataFrame) -> DataFrame:
     """source, documents, tokens, actual_pct, target_pct, distinct_documents of a mix: what each source came to."""
     own = mixed.groupBy("source").agg(F.count("*").alias("documents"), F.sum("tokens").alias("tokens"), F.max("pass").alias("passes"))
-    out = targets_of(targets).join(own, "source", "left").crossJoin(own.agg(F.sum("tokens").alias("_all")))
+    out = targets_of(targets).join(own, "source", "left").withColumn("_all", F.sum("tokens").over(Window.partitionBy()))
     return out.select("source", F.coalesce("documents", F.lit(0)).alias("documents"), F.coalesce("tokens", F.lit(0)).alias("tokens"), "passes", F.expr("100 * coalesce(tokens, 0) / _all").alias("actual_pct"), "target_pct")
