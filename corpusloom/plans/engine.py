@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -187,6 +189,24 @@ def clean_templates(spark: SparkSession, path: str) -> DataFrame:
     return own.select("doc_id", evidence.clean_wiki_column(text).alias("text"))
 
 
+def _with_blocks(change: Callable[[Column], Column] = lambda c: c) -> Column:
+    """The whole text with blocks set in, and references that are to be cut off."""
+    return F.concat(F.lit(" {{Infobox}}"), change(F.substring("text", 1, 40)), F.lit("{{a|b}}{{c}}"), change(F.expr("substring(text, 41)")), F.lit(" == References == gone"))
+
+
+def clean_documents(spark: SparkSession, path: str) -> DataFrame:
+    """Whole texts with blocks set in beside their own, cleaned by built-in functions."""
+    own = load(spark, path, "documents").where("text is not null")
+    return own.select("doc_id", evidence.clean_wiki_column(_with_blocks()).alias("text"))
+
+
+def clean_pages(spark: SparkSession, path: str) -> DataFrame:
+    """The clean text of page records that hold such whole texts with preserved space."""
+    body = F.concat(F.lit("<page><title>gone</title><revision><id>1</id><text xml:space='preserve'>"), _with_blocks(_escaped), F.lit("</text></revision></page>"))
+    own = load(spark, path, "documents").where("text is not null and doc_id is not null")
+    return evidence.cleaned(own.select(F.col("doc_id").alias("index"), body.cast("binary").alias("bytes")))
+
+
 def word_counts(spark: SparkSession, path: str) -> DataFrame:
     """Words of letters, digits and underscores in every document."""
     return load(spark, path, "documents").where("text is not null").select("doc_id", F.regexp_count("text", F.lit(matching.JAVA_WORD_CHARACTER + "+")).cast("bigint").alias("words"))
@@ -216,7 +236,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         find_word, find_phrase, find_first, find_limit_zero, find_blank, get_record, list_range, record_stats, text_paragraphs, text_chunks, text_records, xml_records, xml_decode, preview_xml, preview_entities,
-        preview_text, search_previews, spot_previews, preview_sizes, preview_contains, evidence_text, evidence_window, evidence_xml, search_to_fragment, clean_templates, word_counts, file_ranges, checkpoints, file_checkpoints,
+        preview_text, search_previews, spot_previews, preview_sizes, preview_contains, evidence_text, evidence_window, evidence_xml, search_to_fragment, clean_templates, clean_documents, clean_pages, word_counts, file_ranges, checkpoints, file_checkpoints,
     )
 }
 
@@ -245,6 +265,14 @@ cuts as (
 select c.doc_id, c.n, c.k, string_agg(t.token, '' order by t.k) as chunk
 from cuts c join tokens t on t.doc_id = c.doc_id and t.n = c.n and t.stop > c.start and t.stop <= c.stop where c.k >= 0 group by all)"""
 _CHUNKS = _CHUNKS.replace("PARAGRAPHS", _PARAGRAPHS)
+_BLOCKS = "' {{Infobox}}' || substr(text, 1, 40) || '{{a|b}}{{c}}' || substr(text, 41) || ' == References == gone'"
+
+
+def _cleaned(text: str) -> str:
+    cut = rf"regexp_replace(split_part(replace({text}, '\n', ''), '== References ==', 1), '^[\s\x0b\x{{85}}\p{{Z}}]+|[\s\x0b\x{{85}}\p{{Z}}]+$', '', 'g')"
+    marked = rf"regexp_replace({cut}, '\{{\{{.*?\}}\}}', chr(57344), 'gs')"
+    return rf"replace(regexp_replace({marked}, '([^\s\x0b\x{{85}}\p{{Z}}\x{{e000}}])\x{{e000}}+', '\1 ', 'g'), chr(57344), '')"
+
 
 SQL = {
     "find_word": f"select index from {_NUMBERED} where {_has('text', 'la')}",
@@ -273,6 +301,8 @@ SQL = {
     "clean_templates": r"""
 select doc_id, regexp_replace(regexp_replace(trim(substr(text, 1, 40) || chr(57344) || substr(text, 41, 60), chr(10) || ' '), '([^\s' || chr(57344) || '])' || chr(57344), '\1 ', 'g'), chr(57344), '', 'g') as text
 from documents where text is not null and not contains(text, '{{')""",
+    "clean_documents": f"select doc_id, {_cleaned(_BLOCKS)} as text from documents where text is not null",
+    "clean_pages": "select doc_id as index, " + _cleaned(rf"regexp_replace(regexp_replace({_BLOCKS}, '[&<>]+([^\s\x0b\x{{85}}\p{{Z}}&<>])', ' \1', 'g'), '[&<>]+', '', 'g')") + " as text from documents where text is not null and doc_id is not null",
     "word_counts": r"select doc_id, len(regexp_extract_all(text, '[\p{L}\p{N}_]+')) as words from documents where text is not null",
     "file_ranges": "select min(index) as start_index, max(index) as end_index, filename from records where bytes is not null and filename is not null group by filename",
     "checkpoints": "select index + 1 as index, position::bigint as position from (select index, sum(n + 2) over (order by index) as position from (select index, octet_length(min(bytes)) as n from records where bytes is not null group by index)) where (index + 1) % 100 = 0",

@@ -8,6 +8,7 @@ from hypothesis import strategies as st
 from corpusloom.config import PreviewConfig, TextConfig, XmlConfig
 from corpusloom.errors import InvalidConfiguration, XmlError
 from corpusloom.functions import evidence, matching, preview, textsplit, xmltok
+from corpusloom.plans import engine
 
 WS = textsplit.WHITE_SPACE
 
@@ -117,6 +118,15 @@ def test_previews():
     assert preview.text_prefix("alpha βeta gamma delta", 7) == "alpha "
 
 
+def test_whole_documents_and_pages_are_cleaned(spark, tmp_path):
+    long = "ab & cd\ue000 e\ue001a " * 30 + "{{own|\n{{x}} <y> tail {{open"
+    spark.createDataFrame([(1, long), (2, ""), (3, None)], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    for name, parts in (("clean_documents", (long[:40], long[40:])), ("clean_pages", tuple(t.replace("& ", " ").replace(" <y> ", "  y ") for t in (long[:40], long[40:])))):
+        whole = evidence.clean_wiki("{{Infobox}}" + parts[0] + "{{a|b}}{{c}}" + parts[1] + " == References == gone")
+        assert len(whole) > 300
+        assert dict(tuple(r) for r in engine.QUERIES[name](spark, str(tmp_path)).collect()) == {1: whole, 2: ""}, name
+
+
 def test_templates_and_cleaning(spark):
     texts = ["a{{x}}{{y}}b {{q}}c{{d", " {{a{{b}} c}}", "x{{t}}", "{{t}}x", "é{{\n}}\n"]
     rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").select("i", evidence.remove_templates_column("t").alias("x")).collect()
