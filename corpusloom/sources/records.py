@@ -3,9 +3,14 @@
 from __future__ import annotations
 
 import bz2
+import contextlib
 import glob
+import hashlib
 import io
+import json
 import os
+import uuid
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -169,26 +174,104 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(v, f.type) for v, f in zip(columns, _ARROW, strict=True)], schema=_ARROW)
 
 
+class ArrivalLog:
+    """Files of a folder by the order in which they were first seen: entry n, a file in the log's folder, names those that were new then.
+
+    A file is known by its path and modification time. Entries are never changed, so a batch that is run again reads what it read.
+    """
+
+    def __init__(self, folder: str) -> None:
+        self.folder, self.last, self.id = folder, 0, ""
+        self.seen: dict[str, int] = {}
+
+    def entry(self, number: int) -> dict | None:
+        try:
+            with open(os.path.join(self.folder, f"{number}.json"), encoding="utf-8") as file:
+                return json.load(file)
+        except FileNotFoundError:
+            return None
+
+    def catch_up(self) -> None:
+        while (found := self.entry(self.last + 1)) is not None:
+            self.last, self.id = self.last + 1, found["log"]
+            self.seen |= found["files"]
+
+    def add(self, files: dict[str, int]) -> None:
+        """Take in those of the files that are not known; another writer's entry of the same number stays, and is read first."""
+        self.catch_up()
+        while new := {p: t for p, t in files.items() if self.seen.get(p) != t}:
+            os.makedirs(self.folder, exist_ok=True)
+            own = os.path.join(self.folder, f".{uuid.uuid4().hex}")
+            with open(own, "w", encoding="utf-8") as file:
+                json.dump({"log": self.id or uuid.uuid4().hex, "files": new}, file)
+                file.flush()
+                os.fsync(file.fileno())
+            try:
+                os.link(own, os.path.join(self.folder, f"{self.last + 1}.json"))
+            except FileExistsError:
+                pass
+            finally:
+                os.unlink(own)
+            self.catch_up()
+
+
+def _beside(path: str) -> str:
+    """The folder of the log where none is named: beside the folder that is read, or the one above the first wildcard."""
+    fixed = path.rstrip("/")
+    while glob.has_magic(fixed):
+        fixed = os.path.dirname(fixed)
+    tail = "" if fixed == path.rstrip("/") else "-" + hashlib.md5(path.encode()).hexdigest()[:12]
+    return f"{fixed or '.'}.arrivals{tail}"
+
+
 class RecordStreamReader(DataSourceStreamReader):
-    """New files of a folder in order of name; the offset names the last one, so records keep their numbers. Files are read by tasks."""
+    """Every file that was not read before, under whatever name it arrives; the offset is a place in the log of arrivals. Files are read by tasks.
+
+    A file whose modification time changes has arrived again and is read again as a whole. One that is gone before it is read is an error.
+    """
 
     def __init__(self, options: dict, form: str) -> None:
         self.o, self.form = _Options(options), form
+        self.log = ArrivalLog(options.get("arrivalLog", options.get("arrivallog")) or _beside(self.o.path))
 
-    def _names(self) -> list[tuple[str, str]]:
+    def _files(self) -> dict[str, int]:
+        found = {}
         try:
-            return [(os.path.basename(p), p) for p in self.o.files()]
+            for path in self.o.files():
+                with contextlib.suppress(FileNotFoundError):
+                    found[path] = os.stat(path).st_mtime_ns
         except IoError:
-            return []
+            pass
+        return found
 
     def initialOffset(self) -> dict:
-        return {"file": ""}
+        return {"entry": 0, "log": ""}
 
     def latestOffset(self, *_: object) -> dict:
-        return {"file": max((n for n, _ in self._names()), default="")}
+        self.log.add(self._files())
+        return {"entry": self.log.last, "log": self.log.id}
 
     def partitions(self, start: dict, end: dict) -> list[FilePart]:
-        return [FilePart(p, 0, 0, None) for n, p in self._names() if start["file"] < n <= end["file"]]
+        if "file" in start or "file" in end:
+            raise InvalidConfiguration("the checkpoint is of an earlier version, which missed files; begin with a new one and an empty table")
+        if start["entry"] and start["log"] != end["log"]:
+            raise InvalidConfiguration(f"the log of arrivals in {self.log.folder} is not the one that the checkpoint goes by")
+        out: list[FilePart] = []
+        alike: Counter[str] = Counter()
+        for number in range(start["entry"] + 1, end["entry"] + 1):
+            entry = self.log.entry(number)
+            if entry is None or entry["log"] != end["log"]:
+                raise IoError(f"no entry {number} in the log of arrivals in {self.log.folder}")
+            for path, changed in entry["files"].items():
+                try:
+                    if os.stat(path).st_mtime_ns != changed:  # it has arrived again, and a later entry names it
+                        continue
+                except FileNotFoundError as e:
+                    raise IoError(f"{path} is gone before it was read") from e
+                name = os.path.basename(path)
+                out.append(FilePart(path, alike[name], 0, None))
+                alike[name] += 1
+        return out
 
     def read(self, partition: FilePart) -> Iterator[pa.RecordBatch]:
         return _read(partition, self.o, self.form)

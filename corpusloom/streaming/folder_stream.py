@@ -13,14 +13,20 @@ from ..functions.matching import contains_whole_words
 from ..sources import records
 
 
-def stream(spark: SparkSession, path: str, form: str, config: XmlConfig | TextConfig) -> DataFrame:
-    """filename, part, local, bytes, position of new files, a file at a time in order of name."""
+def stream(spark: SparkSession, path: str, form: str, config: XmlConfig | TextConfig, log: str | None = None) -> DataFrame:
+    """filename, part, local, bytes, position of every file that was not read before, whatever its name; the files of a batch are numbered by name.
+
+    ``log`` is the folder that keeps which files have arrived, by default one beside ``path`` (``path.arrivals``). It belongs to the
+    checkpoints that were begun with it and must last as long as they do.
+    """
     records.register(spark)
     reader = spark.readStream.format("xmlrecords" if form == "xml" else "textrecords")
     if isinstance(config, XmlConfig):
         reader = reader.option("recordElement", config.record_element).option("maxRecordBytes", config.max_record_bytes)
     else:
         reader = reader.option("targetRecordBytes", config.target_record_bytes)
+    if log is not None:
+        reader = reader.option("arrivalLog", log)
     return reader.load(path)
 
 

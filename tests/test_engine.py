@@ -1,5 +1,6 @@
 import bz2
 import json
+import os
 import threading
 import urllib.request
 
@@ -8,7 +9,7 @@ from pyspark.sql import functions as F
 
 from corpusloom import cli
 from corpusloom.config import PreviewConfig, TextConfig, XmlConfig
-from corpusloom.errors import InvalidConfiguration, NotPrepared
+from corpusloom.errors import InvalidConfiguration, IoError, NotPrepared
 from corpusloom.functions import preview
 from corpusloom.operators.engine import RecordEngine
 from corpusloom.operators.service import Service, serve
@@ -194,6 +195,52 @@ def test_stream(spark, tmp_path):
     assert folder_stream.matching_records(spark.read.parquet(table), "two").count() == 2
 
 
+def test_stream_reads_files_whatever_their_names(spark, tmp_path):
+    where, table = tmp_path / "in", str(tmp_path / "table")
+    where.mkdir()
+    streamed = folder_stream.stream(spark, str(where), "txt", TextConfig(1024), str(tmp_path / "log"))
+
+    def run():
+        query = folder_stream.append_numbered(streamed, table, str(tmp_path / "checkpoint"))
+        query.processAllAvailable()
+        query.stop()
+        return [(r["index"], r["filename"], bytes(r["bytes"])) for r in spark.read.parquet(table).orderBy("index").collect()]
+
+    (where / "2024-02.txt").write_text("february")
+    want = [(0, "2024-02.txt", b"february")]
+    assert run() == want
+    (where / "2024-01.txt").write_text("january")  # sorts before what was read
+    (where / "2024-02.txt").unlink()  # one that was read may go
+    want.append((1, "2024-01.txt", b"january"))
+    assert run() == want and run() == want
+    (where / "a-feed.txt").write_text("other")
+    (where / "2024-01.txt").write_text("january, again")
+    os.utime(where / "2024-01.txt", ns=(1, 1))
+    assert run() == [*want, (2, "2024-01.txt", b"january, again"), (3, "a-feed.txt", b"other")]
+
+
+def test_stream_log_of_arrivals(tmp_path):
+    where = tmp_path / "in"
+    for folder_name in ("x", "y"):
+        (where / folder_name).mkdir(parents=True)
+        (where / folder_name / "a.txt").write_text(folder_name)
+    options = {"path": str(where / "*" / "*.txt")}
+    one, two = (records.RecordStreamReader(options, "txt") for _ in range(2))
+    zero, first = one.initialOffset(), one.latestOffset()
+    assert two.latestOffset() == one.latestOffset() == first  # both go by one log, and nothing is new
+    assert sorted((os.path.relpath(p.path, where), p.part) for p in two.partitions(zero, first)) == [("x/a.txt", 0), ("y/a.txt", 1)]
+    (where / "x" / "0.txt").write_text("0")
+    second = two.latestOffset()
+    assert [os.path.basename(p.path) for p in one.partitions(first, second)] == ["0.txt"] and one.latestOffset() == second
+    (where / "x" / "0.txt").unlink()
+    with pytest.raises(IoError, match="gone"):
+        one.partitions(first, second)
+    with pytest.raises(InvalidConfiguration, match="earlier version"):
+        one.partitions({"file": "a.txt"}, second)
+    with pytest.raises(InvalidConfiguration, match="log of arrivals"):
+        one.partitions(first, second | {"log": "other"})
+
+
 def test_numbers_follow_the_order_at_any_partitioning(spark):
     df = spark.createDataFrame([((k * 7919) % 5003,) for k in range(5003)], "k int").repartition(7)
     for n in ("3", "50"):
