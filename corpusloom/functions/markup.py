@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 from xml.parsers import expat
 
 
@@ -85,8 +86,12 @@ def json_value(data: bytes | None) -> object | None:
     if data is None:
         return None
     try:
-        return json.loads(data.decode("utf-8-sig"), object_pairs_hook=Pairs)
-    except (ValueError, RecursionError):
+        text = data.decode("utf-8-sig")
+        try:
+            return json.loads(text, object_pairs_hook=Pairs)
+        except RecursionError:
+            return _deep_json(text)
+    except ValueError:
         return None
 
 
@@ -94,6 +99,67 @@ class Pairs(list):
     """A JSON object's name and value pairs, in order."""
 
 
+_BLANK = re.compile(r"[ \t\n\r]*")
+_SCALAR = json.JSONDecoder().scan_once
+
+
+def _deep_json(text: str) -> object:
+    """As json.loads, by a stack of open objects and arrays, so at any depth."""
+
+    def skip(at: int) -> int:
+        return _BLANK.match(text, at).end()
+
+    def scalar(at: int) -> tuple[object, int]:
+        try:
+            return _SCALAR(text, at)
+        except StopIteration:
+            raise ValueError(f"no value at {at}") from None
+
+    def key(at: int) -> tuple[str, int]:
+        if text[at : at + 1] != '"':
+            raise ValueError(f"no name at {at}")
+        name, at = scalar(at)
+        at = skip(at)
+        if text[at : at + 1] != ":":
+            raise ValueError(f"no colon at {at}")
+        return name, skip(at + 1)
+
+    #: open containers, objects with the name whose value is awaited
+    stack: list[tuple[list, str | None]] = []
+    at = skip(0)
+    while True:
+        opened = text[at : at + 1]
+        if opened in ("{", "["):
+            at = skip(at + 1)
+            value = Pairs() if opened == "{" else []
+            if text[at : at + 1] != ("}" if opened == "{" else "]"):
+                name, at = key(at) if opened == "{" else (None, at)
+                stack.append((value, name))
+                continue
+            at += 1
+        else:
+            value, at = scalar(at)
+        while True:
+            at = skip(at)
+            if not stack:
+                if at != len(text):
+                    raise ValueError(f"more at {at}")
+                return value
+            container, name = stack[-1]
+            container.append(value if name is None else (name, value))
+            sign = text[at : at + 1]
+            if sign == ",":
+                at = skip(at + 1)
+                if name is not None:
+                    name, at = key(at)
+                    stack[-1] = (container, name)
+                break
+            if sign != ("]" if name is None else "}"):
+                raise ValueError(f"no end at {at}")
+            value, at = container, at + 1
+            stack.pop()
+
+
 def record_text(data: bytes | None, form: str | None) -> str | None:
     """The text of a record by its form (xml, json, txt): character data of XML, else the bytes as UTF-8, invalid bytes as U+FFFD.
 

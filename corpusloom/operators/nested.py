@@ -1,8 +1,8 @@
 """Deeply nested XML or JSON records as related flat tables.
 
-Each record is parsed as a stream into path-value-ordinal triples; paths are grouped by their nearest repeated ancestor
-(a table for each name of an element with children, or of a JSON object, so a recursive structure is one table that refers to
-itself); each group is then pivoted into one table whose rows are linked by ``node_path`` and ``parent_path``.
+Each record is parsed into path-value-ordinal triples, XML as a stream and JSON as a whole, at any depth; paths are grouped by
+the name of their container (a table for each name of an element with children, or of a JSON object, repeated or not and
+wherever it stands, so a recursive structure is one table that refers to itself); each group is then pivoted into one table whose rows are linked by ``node_path`` and ``parent_path``.
 """
 
 from __future__ import annotations
@@ -23,6 +23,7 @@ _SCHEMA = pa.schema(
 )
 #: More tables or columns than this are taken for a key that was used as a name.
 MAX_COLUMNS = 10_000
+_BATCH_BYTES = 64 << 20
 
 
 class _Element:
@@ -134,12 +135,16 @@ def triples(records: DataFrame, index: str = "index", data: str = "bytes", form:
                 rows = xml_triples(b) if f == "xml" else json_triples(b)
                 if not rows:
                     continue
-                out[0].extend([i] * len(rows))
-                for column, values in zip(out[1:], zip(*rows, strict=True), strict=True):
-                    column.extend(values)
-                if len(out[0]) >= 50_000:
-                    yield pa.RecordBatch.from_arrays([pa.array(v, t.type) for v, t in zip(out, _SCHEMA, strict=True)], schema=_SCHEMA)
-                    out = [[] for _ in _SCHEMA]
+                # paths of deep records are long, and each row holds two
+                most = max(1, min(50_000, _BATCH_BYTES // (2 * max(len(r[0]) for r in rows))))
+                for k in range(0, len(rows), most):
+                    some = rows[k : k + most]
+                    out[0].extend([i] * len(some))
+                    for column, values in zip(out[1:], zip(*some, strict=True), strict=True):
+                        column.extend(values)
+                    if len(out[0]) >= most:
+                        yield pa.RecordBatch.from_arrays([pa.array(v, t.type) for v, t in zip(out, _SCHEMA, strict=True)], schema=_SCHEMA)
+                        out = [[] for _ in _SCHEMA]
             yield pa.RecordBatch.from_arrays([pa.array(v, t.type) for v, t in zip(out, _SCHEMA, strict=True)], schema=_SCHEMA)
 
     chosen = records.select(F.col(index).cast("bigint").alias("index"), F.col(data).cast("binary").alias("bytes"), F.col(form).alias("form"))

@@ -1,6 +1,9 @@
 import json
 import xml.etree.ElementTree as ET
 
+import pytest
+
+from corpusloom.functions import markup
 from corpusloom.operators import nested
 
 XML = b"""<release id="1"><title>One &amp; two</title><tracks><track n='1'><title>A</title><credit><name>x</name></credit></track><track><title>B</title>
@@ -72,3 +75,26 @@ def test_flat_tables_keep_links_and_values(spark):
     assert nested.flat_table(t, "mixed").first()["#text"] == "text  tail"
     assert nested.flat_table(t, "nothing").count() == 0 and nested.flat_table(t, "track", ["title", "none"]).where("none is null").count() == 3
     assert nested.flat_table(t, "record").select("id", "title", "note").first().asDict() == {"id": "1", "title": None, "note": '{"a": 1}'}
+
+
+def test_json_of_any_depth(spark):
+    depth = 12_000
+    with pytest.raises(RecursionError):
+        json.loads('{"a": ' * depth + "1" + "}" * depth, object_pairs_hook=markup.Pairs)
+    deep = '{"a": ' * depth + "1" + "}" * depth
+    assert len([r for r in nested.json_triples(deep.encode()) if r[3] == "node"]) == depth
+    assert markup.json_value(deep[:-1].encode()) is None and markup.json_value(("[" * depth + "]" * depth).encode()) is not None
+    df = spark.createDataFrame([(1, deep.replace("1", '{"b": [true, {"c": null}]}').encode(), "json")], "index bigint, bytes binary, form string")
+    got = nested.nodes(nested.triples(df)).selectExpr("count(*)", "max(length(node_path))").first()
+    assert tuple(got) == (depth + 2, 5 * depth + len("/b[2]"))
+
+
+def test_deep_parser_equals_json_loads():
+    good = [json.dumps(JSON), ' [ ] ', "{}", '{"a":{},"a":[]}', "[1, -2.5e3, NaN, -Infinity]", '"\\u00e9\\n"', "null", "[[[]],{}]", json.dumps(JSON, indent=2)]
+    bad = ["", "[", "[1,]", '{"a"}', '{"a":1,}', "[1 2]", '{"a":1]', "[1}", "1 2", "{1:2}", '"a', '["\n"]', "tru", "[,]", '{"a":}', "01", "\u00a0[]"]
+    for text in good:
+        assert repr(markup._deep_json(text)) == repr(json.loads(text, object_pairs_hook=markup.Pairs)), text
+    for text in bad:
+        for parse in (markup._deep_json, json.loads):
+            with pytest.raises(ValueError):
+                parse(text)
