@@ -158,7 +158,8 @@ def nodes(t: DataFrame) -> DataFrame:
 
 def layout(t: DataFrame) -> DataFrame:
     """table, name, repeated: the columns of each table, and whether a row may hold several values of one."""
-    return t.where("kind = 'value'").groupBy("table", "name").agg((F.max("ordinal") > 1).alias("repeated"))
+    rows = t.where("kind = 'value'").groupBy("table", "name", "index", "node_path").agg(F.max("ordinal").alias("last"), F.count("*").alias("n"))  # in arrays of arrays ordinals begin anew
+    return rows.groupBy("table", "name").agg((F.max(F.greatest("last", "n")) > 1).alias("repeated"))
 
 
 def _columns(t: DataFrame, table: str) -> list[str]:
@@ -185,3 +186,34 @@ def repeated_values(t: DataFrame, table: str, name: str) -> DataFrame:
     """index, parent_path (the row of ``table`` it belongs to), ordinal, value of a value that rows may have several times."""
     own = t.where((F.col("table") == table) & (F.col("kind") == "value") & (F.col("name") == name))
     return own.select("index", F.col("node_path").alias("parent_path"), "ordinal", "value")
+
+
+def tables(t: DataFrame) -> DataFrame:
+    """All tables at once: table, index, parent_path, node_path, ordinal, a column for each name that no row has twice, and value.
+
+    A row of a table has nulls in the columns of others. Values that rows of a table may have several times are rows of a table
+    of their own, named ``table/name``, with the owner's path as parent_path, no node_path, and the value in ``value``. Triples are read
+    three times, so keep them beforehand.
+    """
+    kinds = layout(t)
+    names = sorted(r["name"] for r in kinds.where("not repeated").select("name").distinct().limit(MAX_COLUMNS + 1).collect())
+    if len(names) > MAX_COLUMNS:
+        raise InvalidConfiguration(f"the tables have more than {MAX_COLUMNS} columns")
+    taken = {"table", "index", "parent_path", "node_path", "ordinal", "value"}
+    columns = {n: _free(n, taken) for n in names}
+    marked = t.join(kinds.where("repeated"), ["table", "name"], "left").withColumn("repeated", F.coalesce("repeated", F.lit(False)) & (F.col("kind") == "value"))
+    first = [F.min(F.when((F.col("kind") == "value") & (F.col("name") == n), F.struct("ordinal", "value"))).getField("value").alias(c) for n, c in columns.items()]
+    place = F.max(F.when(F.col("kind") == "node", F.col("ordinal"))).alias("ordinal")
+    flat = marked.where("not repeated").groupBy("table", "index", "parent_path", "node_path").agg(place, *first)
+    several = marked.where("repeated").select(F.concat_ws("/", "table", "name").alias("table"), "index", F.col("node_path").alias("parent_path"), "ordinal", "value")
+    return flat.unionByName(several, allowMissingColumns=True)
+
+
+def _free(name: str, taken: set[str]) -> str:
+    """The name, with a number where Spark would take it for another; it is taken then."""
+    free, k = name, 1
+    while free.lower() in taken:
+        k += 1
+        free = f"{name}_{k}"
+    taken.add(free.lower())
+    return free

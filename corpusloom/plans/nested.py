@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import nested
+from ..session import checkpoint
 from ..tables import records_with_form
 
 
@@ -27,4 +28,9 @@ def layouts(spark: SparkSession, folder: str) -> DataFrame:
     return nested.layout(_triples(spark, folder))
 
 
-QUERIES = {"p3_found": found, "p3_tracks": tracks, "p3_layout": layouts}
+def tables(spark: SparkSession, folder: str) -> DataFrame:
+    """Every table of all releases and JSON records, and their repeated values, with keys of parents."""
+    return nested.tables(checkpoint(_triples(spark, folder)))
+
+
+QUERIES = {"p3_found": found, "p3_tracks": tracks, "p3_layout": layouts, "p3_tables": tables}

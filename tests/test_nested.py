@@ -77,6 +77,28 @@ def test_flat_tables_keep_links_and_values(spark):
     assert nested.flat_table(t, "record").select("id", "title", "note").first().asDict() == {"id": "1", "title": None, "note": '{"a": 1}'}
 
 
+def test_all_tables_at_once(spark):
+    clash = b"<r><Title>t</Title><value>v</value><title>u</title></r>"
+    df = spark.createDataFrame([(1, XML, "xml"), (2, json.dumps(JSON).encode(), "json"), (3, clash, "xml"), (4, b'{"cells": [["p"], ["q"]]}', "json")], "index bigint, bytes binary, form string")
+    t = nested.triples(df).persist()
+    whole = nested.tables(t).persist()
+    renamed = {"title": "title_2", "value": "value_2"}
+    kinds = nested.layout(t).collect()
+    names = {r["table"] for r in nested.nodes(t).collect()}
+    assert {r["table"] for r in whole.select("table").distinct().collect()} == names | {f"{r['table']}/{r['name']}" for r in kinds if r["repeated"]}
+    keys = ["index", "parent_path", "node_path", "ordinal"]
+    for table in names:
+        own = nested.flat_table(t, table)
+        found = whole.where(whole["table"] == table).select(*keys, *[f"`{renamed.get(c, c)}`" for c in own.columns[4:]])
+        assert sorted(map(repr, map(tuple, own.collect()))) == sorted(map(repr, map(tuple, found.collect()))), table
+    assert ("record", "cells", True) in map(tuple, kinds)
+    for r in kinds:
+        if r["repeated"]:
+            own = nested.repeated_values(t, r["table"], r["name"])
+            found = whole.where(whole["table"] == f"{r['table']}/{r['name']}").select("index", "parent_path", "ordinal", "value")
+            assert own.count() > 0 and sorted(map(tuple, own.collect())) == sorted(map(tuple, found.collect()))
+
+
 def test_json_of_any_depth(spark):
     depth = 12_000
     with pytest.raises(RecursionError):
