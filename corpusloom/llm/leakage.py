@@ -1,8 +1,9 @@
 """Evaluation texts in a corpus, found by latent semantic retrieval.
 
 Documents and items are cut into overlapping passages of words. A randomised singular value decomposition of TF-IDF passages,
-its products summed over partitions, gives a latent space; passages near an item's passage by cosine are candidates, and
-these are checked by their longest common run, their longest common subsequence and the item's answer.
+its products summed over partitions, gives a latent space; passages near an item's passage by cosine are candidates for
+paraphrases, and these are checked by their longest common subsequence and the item's answer. Common runs are found by hash in
+all documents, since no cosine bounds them.
 
 Terms are the words of items: others add nothing to any product with an item's passage.
 """
@@ -180,8 +181,9 @@ class _Search:
         self.owner = np.array([n for n, _ in items.passages])
 
     def candidates(self, codes: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, ...]:
-        """document, item, cosine, place of the document's passage, item's passage: the nearest of each document and item.
+        """document, item, cosine, place of the document's passage, item's passage: the nearest of each document and item, and all that may be paraphrases.
 
+        Rows of a document and item stand together, the nearest first.
         ``codes`` are the words of all documents, ``starts`` where each begins, and the end. None is empty.
         """
         size, known = self.config.words, codes < self.items.none
@@ -215,31 +217,44 @@ class _Search:
         order = np.lexsort((-cosine, item, document))
         document, item, cosine, place, passage = document[order], item[order], cosine[order], place[order], passage[order]
         new = np.concatenate(([True], (document[1:] != document[:-1]) | (item[1:] != item[:-1])))[: len(document)]
+        new |= cosine >= self.config.paraphrase_cosine
         return document[new], item[new], cosine[new], place[new], passage[new]
 
-    def longest_runs(self, codes: np.ndarray, starts: np.ndarray, document: np.ndarray, item: np.ndarray) -> dict[tuple[int, int], int]:
-        """The longest run of common words, where it has ``words`` or more, of each candidate."""
+    def nearest(self, words: np.ndarray, item: int) -> tuple[float, int]:
+        """The cosine of a passage and the nearest passage of an item, and which that is."""
+        vector, own = self.places[words].sum(0), np.flatnonzero(self.owner == item)
+        product = vector @ self.vectors[:, own] / max(float(np.linalg.norm(vector)), 1e-9)
+        best = int(product.argmax())
+        return float(product[best]), int(own[best])
+
+    def longest_runs(self, codes: np.ndarray, starts: np.ndarray) -> dict[tuple[int, int], tuple[int, int]]:
+        """The longest run of common words, where it has ``words`` or more, of each document and item, and its place; whatever their cosine."""
         size, items = self.config.words, self.items
-        out: dict[tuple[int, int], int] = {}
-        if not len(items.run_hash) or not len(document):
+        out: dict[tuple[int, int], tuple[int, int]] = {}
+        if not len(items.run_hash) or len(codes) < size:
             return out
-        wanted = set(zip(document.tolist(), item.tolist(), strict=True))
-        for d in np.unique(document).tolist():
-            own = codes[starts[d] : starts[d + 1]]
-            hashes = _runs(own, size, items.none)
-            at = np.searchsorted(items.run_hash, hashes)
-            at[at == len(items.run_hash)] = 0
-            for p in np.flatnonzero(items.run_hash[at] == hashes).tolist():
-                q = int(at[p])
-                while q < len(items.run_hash) and items.run_hash[q] == hashes[p]:
-                    n, k = int(items.run_item[q]), int(items.run_at[q])
-                    q += 1
-                    if (d, n) in wanted:
-                        theirs = items.words[n]
-                        if np.array_equal(own[p : p + size], theirs[k : k + size]):
-                            most = min(len(own) - p, len(theirs) - k)
-                            differ = np.flatnonzero(own[p : p + most] != theirs[k : k + most])
-                            out[d, n] = max(out.get((d, n), 0), int(differ[0]) if len(differ) else most)
+        hashes = _runs(codes, size, items.none)
+        strange = np.concatenate(([0], np.cumsum(codes == items.none)))
+        places = np.flatnonzero(strange[size:] == strange[:-size])  # no word is unknown
+        at = np.searchsorted(items.run_hash, hashes[places])
+        at[at == len(items.run_hash)] = 0
+        hit = items.run_hash[at] == hashes[places]
+        places, at = places[hit], at[hit]
+        owners = np.searchsorted(starts, places, "right") - 1
+        for p, q, d in zip(places.tolist(), at.tolist(), owners.tolist(), strict=True):
+            end = int(starts[d + 1])
+            if p + size > end:
+                continue
+            while q < len(items.run_hash) and items.run_hash[q] == hashes[p]:
+                n, k = int(items.run_item[q]), int(items.run_at[q])
+                q += 1
+                theirs = items.words[n]
+                if np.array_equal(codes[p : p + size], theirs[k : k + size]):
+                    most = min(end - p, len(theirs) - k)
+                    differ = np.flatnonzero(codes[p : p + most] != theirs[k : k + most])
+                    length = int(differ[0]) if len(differ) else most
+                    if length > out.get((d, n), (0, 0))[0]:
+                        out[d, n] = length, p
         return out
 
 
@@ -275,7 +290,7 @@ def leaks(documents: DataFrame, items: DataFrame, config: LeakConfig = LeakConfi
     """doc_id, item_id, cosine, run, subsequence, answer, kind of every document that holds part of an item.
 
     ``kind`` is exact (``run``, the longest run of common words, has ``words`` or more) or paraphrase (no such run, but cosine and the share
-    of the longest common subsequence in the nearest passages reach their limits). ``answer`` says whether the item's answer stands in the
+    of the longest common subsequence of two passages reach their limits; the nearest such passages are shown). ``answer`` says whether the item's answer stands in the
     document; null without an answer. Items are (item_id, text, answer); repeated ids count once. Rows with a null id or
     text give nothing; documents are told apart by row, so an id given twice may come twice. Other columns are ignored.
     """
@@ -304,14 +319,23 @@ def leaks(documents: DataFrame, items: DataFrame, config: LeakConfig = LeakConfi
                 starts = np.concatenate(([0], np.cumsum([len(c) for _, c in kept])))
                 codes = np.concatenate([c for _, c in kept])
                 document, item, cosine, place, passage = engine.candidates(codes, starts)
-                runs = engine.longest_runs(codes, starts, document, item)
-                for d, n, c, p, q in zip(document.tolist(), item.tolist(), cosine.tolist(), place.tolist(), passage.tolist(), strict=True):
-                    run = runs.get((d, n), 0)
-                    if not run and c < config.paraphrase_cosine:
+                runs = engine.longest_runs(codes, starts)
+                pairs = list(zip(document.tolist(), item.tolist(), cosine.tolist(), place.tolist(), passage.tolist(), strict=True))
+                near = {(d, n) for d, n, *_ in pairs}
+                for (d, n), (_, p) in runs.items():
+                    if (d, n) not in near:
+                        p -= (p - int(starts[d])) % size
+                        c, q = engine.nearest(codes[p : min(p + 2 * size, starts[d + 1])], n)
+                        pairs.append((d, n, c, p, q))
+                done: set[tuple[int, int]] = set()
+                for d, n, c, p, q in pairs:
+                    run = runs.get((d, n), (0, 0))[0]
+                    if (d, n) in done or not run and c < config.paraphrase_cosine:
                         continue
                     theirs = engine.items.passages[q][1]
                     share = common_subsequence(codes[p : min(p + 2 * size, starts[d + 1])].tolist(), theirs.tolist()) / max(1, len(theirs))
                     if run or share >= config.paraphrase_share:
+                        done.add((d, n))
                         answer = _holds(kept[d][1], engine.items.answers[n])
                         out.append((kept[d][0], int(engine.items.ids[n]), c, run, share, answer, "exact" if run else "paraphrase"))
             columns = list(zip(*out, strict=True)) if out else [()] * 7

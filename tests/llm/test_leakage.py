@@ -54,6 +54,31 @@ def test_paraphrases(spark):
     assert [(r["doc_id"], r["item_id"], r["kind"], r["answer"]) for r in rows] == [(2, 7, "paraphrase", True)]
 
 
+def test_runs_among_other_items_are_found(spark):
+    rng = random.Random(8)
+    common = [f"c{k}" for k in range(30)]
+    items = [(k, " ".join(rng.choice(common) if rng.random() < 0.5 else f"r{k}x{j}" for j in range(60)), None) for k in range(60)] + [(k, " ".join(rng.choice(common) for _ in range(12)), None) for k in range(60, 80)]
+    texts = [t.split() for _, t, _ in items]
+    documents = [(d, " ".join(rng.choice(common) for _ in range(60))) for d in range(300)]
+    for d in range(300, 600):  # a run of common words between rare words of two other items
+        left, right = ([w for w in texts[rng.randrange(60)] if w[0] == "r"][:11] for _ in range(2))
+        documents.append((d, " ".join([*left, *texts[rng.randrange(60, 80)], *right])))
+    df = spark.createDataFrame(documents, "doc_id bigint, text string")
+    rows = leaks(df, spark.createDataFrame(items, "item_id bigint, text string, answer string")).collect()
+    exact = [(r["doc_id"], r["item_id"]) for r in rows if r["kind"] == "exact"]
+    assert len(exact) == len(set(exact)) and set(exact) == brute(documents, items, 12)
+    assert min(r["cosine"] for r in rows if r["kind"] == "exact") < 0.5
+
+
+def test_second_nearest_passage_may_be_the_paraphrase(spark):
+    item = [f"w{k}" for k in range(24)]
+    shuffled, near = item[::-1], [w for k, w in enumerate(item) if k % 8 != 7]
+    text = " ".join([*shuffled, *near, "z", "z", "z"])  # the same words in another order are nearer
+    df = spark.createDataFrame([(1, text), (2, "quite other words")], "doc_id bigint, text string")
+    rows = leaks(df, spark.createDataFrame([(7, " ".join(item), None)], "item_id bigint, text string, answer string")).collect()
+    assert [(r["doc_id"], r["kind"]) for r in rows] == [(1, "paraphrase")]
+
+
 def test_common_subsequence():
     rng = random.Random(1)
     for _ in range(200):
