@@ -202,6 +202,13 @@ _HEAD, _ITEM, _ROW = "\x04", "\x05", "\x06"
 _BLANK = re.compile(r"[ \t]+")
 
 
+#: Elements that stand apart from what is around them, other than headings, items and parts of tables.
+_PARTING = frozenset(
+    "address article aside blockquote body caption center details dialog dir div dl fieldset figcaption figure footer form head header hgroup hr html label legend "
+    "main menu nav noscript ol optgroup option p pre search section summary table template title ul".split()
+)
+
+
 def _html_lines(text: str) -> str:
     def tag(m: re.Match[str]) -> str:
         closing, name = m.group(1), m.group(2).lower()
@@ -215,7 +222,7 @@ def _html_lines(text: str) -> str:
             return "" if closing else "\t"
         if name in ("br", "dt", "dd"):
             return "\n"
-        if name in ("p", "div", "ul", "ol", "table", "blockquote", "section", "article", "header", "footer", "nav", "hr", "dl", "figure"):
+        if name in _PARTING:
             return "\n\n"
         return ""
 
@@ -238,10 +245,7 @@ def _template(m: re.Match[str]) -> str:
 
 def _wiki_lines(text: str) -> str:
     text = _FILE.sub("", _REF.sub("", text))
-    for _ in range(3):
-        new = _TEMPLATE.sub(_template, text)
-        if new == text:
-            break
+    while (new := _TEMPLATE.sub(_template, text)) != text:
         text = new
     text = re.sub(r"\[\[(?:[^\[\]|]*\|)?([^\[\]|]*)\]\]", r"\1", text)
     text = re.sub(r"\[(?:https?|ftp)://\S+?(?:\s+([^\]\n]*))?\](?!\()", lambda m: m.group(1) or "", text)
@@ -273,10 +277,7 @@ def _latex_lines(text: str) -> str:
     text = re.sub(r"^(.*&.*?)\\\\[ \t]*(?:\\hline)?[ \t]*$", lambda m: _ROW + re.sub(r"[ \t]*&[ \t]*", "\t", m.group(1).strip()), text, flags=re.M)
     text = re.sub(r"\\(?:begin|end)\{[^{}]*\}(?:\{[^{}]*\})?", "\n\n", text)
     text = re.sub(r"[ \t]*\\item\b[ \t]*", f"\n{_ITEM}", text)
-    for _ in range(3):
-        new = re.sub(r"(?<![\w:\\/.])\\[A-Za-z]+\*?(?:\[[^\]\n]*\])?\{([^{}]*)\}", r"\1", text)
-        if new == text:
-            break
+    while (new := re.sub(r"(?<![\w:\\/.])\\[A-Za-z]+\*?(?:\[[^\]\n]*\])?\{([^{}]*)\}", r"\1", text)) != text:
         text = new
     return re.sub(rf"(?<![\w:\\/.])\\(?:{_BARE})(?![A-Za-z\\])[ \t]*", "", text)
 

@@ -71,3 +71,17 @@ def test_templates_go_and_rows_survive(spark):
     assert few == {k: r["text"] for k, r in out.items()}
     assert {(r["item_id"], r["markup"]) for r in residue.markup_of(parsed).collect()} >= {(103, "html"), (3, "wiki")}
     assert residue.cleaned(residue.parsed(df.limit(0))).count() == 0
+
+
+def test_block_elements_stand_apart():
+    for name in ("aside", "main", "form", "address", "details", "title", "label"):
+        _, found = residue.blocks(f"<p>The mill stood here.</p>Own words <{name}>Subscribe to our letter</{name}> and more.")
+        assert "Subscribe to our letter" in [b[1] for b in found], name
+
+
+def test_nested_templates_and_commands_are_unwrapped():
+    deep = "{{lang|fr|" * 5 + "moulin" + "}}" * 5
+    _, found = residue.blocks(f"'''Mill''' is [[old]] {deep} here.\n\n== Past ==\nText.")
+    assert "moulin" in found[0][1] and "{" not in found[0][1]
+    _, found = residue.blocks("\\section{Mill}\nAn \\textbf{\\emph{\\textit{\\textsc{\\texttt{old}}}}} mill \\cite{a}.")
+    assert any("An old mill" in b[1] for b in found) and not any("\\" in b[1] for b in found)
