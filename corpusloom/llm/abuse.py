@@ -34,7 +34,7 @@ class AbuseConfig:
     margin: float = 0.5
     #: Words of no weight that are added to a sentence's length, so that a chance meeting in two or three words counts little.
     padding: int = 5
-    #: Longer sentences are scored in stretches of so many words.
+    #: Longer sentences are scored in overlapping stretches of so many words.
     stretch: int = 40
     seed: int = 3
 
@@ -99,7 +99,9 @@ def sentences(text: str | None, stretch: int = 40) -> list[list[str]]:
         if len(words) <= stretch:
             out.append(words)
         else:
-            out += [words[k : k + stretch] for k in range(0, len(words), stretch)]
+            # half of each stretch is in the next too, so that an expression across a cut is whole in one
+            step = stretch // 2
+            out += [words[k : k + stretch] for k in range(0, len(words) - stretch + step, step)]
     return [s for s in out if s]
 
 

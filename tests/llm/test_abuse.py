@@ -29,6 +29,14 @@ def test_readings():
     assert max(map(len, abuse.sentences("word " * 1000))) == 40
 
 
+def test_stretches_overlap():
+    for n in (40, 41, 59, 60, 61, 97, 100, 120, 200):
+        words = [f"w{chr(97 + k // 26)}{chr(97 + k % 26)}" for k in range(n)]
+        cut = abuse.sentences(" ".join(words))
+        assert max(map(len, cut)) == 40 and all(any(words[k : k + 20] == s[j : j + 20] for s in cut for j in range(21)) for k in range(n - 19)), n
+        assert {w for s in cut for w in s} == set(words)
+
+
 def test_held_out_accuracy():
     scorer = abuse.fit(corpus(1))
     test = corpus(2)
