@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..config import PreviewConfig
 from ..errors import InvalidConfiguration, RecordError, XmlError
+from ..session import map_arrow
 from .xmltok import CDATA, EMPTY, END, START, TEXT, tokens_of
 
 ELEMENTS = "array<struct<name string, text string>>"
@@ -74,7 +75,7 @@ def previews(records: DataFrame, config: PreviewConfig, form: str) -> DataFrame:
                     errors.append(f"{'xml' if isinstance(e, XmlError) else 'invalid'}:{e.args[0]}")
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(elements, _ELEMENTS), pa.array(errors, pa.string())], names=["index", "elements", "error"])
 
-    return records.where("bytes is not null").select(F.col("index").cast("bigint"), "bytes").mapInArrow(build, f"index bigint, elements {ELEMENTS}, error string")
+    return map_arrow(records.where("bytes is not null").select(F.col("index").cast("bigint"), "bytes"), build, f"index bigint, elements {ELEMENTS}, error string")
 
 
 def retained_bytes(elements: Column) -> Column:

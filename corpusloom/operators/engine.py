@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import os
 import re
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
+from py4j.protocol import Py4JJavaError
 from pyspark import StorageLevel
 from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
@@ -42,15 +43,26 @@ def _raise_first(df: DataFrame) -> DataFrame:
     return df.drop("error")
 
 
+def _told(e: Exception) -> Iterator[str]:
+    """All that an error of Spark says: its own text, and that of the Java exceptions it came from."""
+    yield str(e)
+    todo, seen = [getattr(e, "java_exception", None) or getattr(e, "_origin", None)], 0
+    while todo and seen < 100:
+        java, seen = todo.pop(), seen + 1
+        if java is not None:
+            yield str(java.getMessage())
+            todo += [java.getCause(), *java.getSuppressed()]
+
+
 def _checked(run: Callable):  # noqa: ANN202
     """Turn an error that a record source met in a task into the error it was."""
     try:
         return run()
-    except PySparkException as e:
-        m = re.search(r"record-error\|(\w+)\|(.*?)\|end", str(e), re.S)
-        if m is None:
-            raise
-        raise_kind(m.group(1), m.group(2))
+    except (PySparkException, Py4JJavaError) as e:
+        for text in _told(e):
+            if m := re.search(r"record-error\|(\w+)\|(.*?)\|end", text, re.S):
+                raise_kind(m.group(1), m.group(2))
+        raise
 
 
 def _limited(df: DataFrame, limit: int | None) -> DataFrame:

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from ..errors import InvalidConfiguration
 from ..functions.markup import Pairs, json_value
+from ..session import map_arrow
 
 TRIPLES = "index bigint, node_path string, parent_path string, `table` string, kind string, name string, ordinal bigint, value string"
 _SCHEMA = pa.schema(
@@ -148,7 +149,7 @@ def triples(records: DataFrame, index: str = "index", data: str = "bytes", form:
             yield pa.RecordBatch.from_arrays([pa.array(v, t.type) for v, t in zip(out, _SCHEMA, strict=True)], schema=_SCHEMA)
 
     chosen = records.select(F.col(index).cast("bigint").alias("index"), F.col(data).cast("binary").alias("bytes"), F.col(form).alias("form"))
-    return chosen.where("index is not null and bytes is not null and form in ('xml', 'json')").mapInArrow(parse, TRIPLES)
+    return map_arrow(chosen.where("index is not null and bytes is not null and form in ('xml', 'json')"), parse, TRIPLES)
 
 
 def nodes(t: DataFrame) -> DataFrame:

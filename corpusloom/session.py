@@ -1,13 +1,18 @@
-"""Session settings that every query of this package relies on."""
+"""Session settings that every query of this package relies on, and what is kept in the shared folder."""
 
 from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 import zipfile
+from collections.abc import Callable
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
+
+from .errors import InvalidConfiguration
 
 #: Set only where the session has no value of its own.
 DEFAULTS = {
@@ -26,6 +31,12 @@ def tune(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def map_arrow(df: DataFrame, function: Callable, schema: str | StructType) -> DataFrame:
+    """``mapInArrow`` on workers that have this package, whatever directory the caller runs in."""
+    tune(df.sparkSession)
+    return df.mapInArrow(function, schema)
+
+
 def _ship(spark: SparkSession) -> None:
     """Send the package's source to workers, which may not share the driver's Python path; once a session."""
     if getattr(spark.sparkContext, "_corpusloom_shipped", False):
@@ -45,12 +56,43 @@ def _ship(spark: SparkSession) -> None:
     spark.sparkContext._corpusloom_shipped = True
 
 
-def checkpoint(df: DataFrame) -> DataFrame:
-    """A reliable checkpoint in the folder that ``spark.checkpoint.dir`` names, so that lost executors cost no recomputation.
+def shared_folder(spark: SparkSession) -> str:
+    """This application's own folder below the one that ``spark.checkpoint.dir`` names, deleted when the application ends.
 
-    Where the setting is absent (tests on one machine) a temporary folder is used.
+    Where the setting is absent a temporary folder does on a single machine; on a cluster, whose executors don't share such a
+    folder, that is an error.
     """
-    context = df.sparkSession.sparkContext
+    context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="corpusloom-checkpoint-"))
+        named = context.getConf().get("spark.checkpoint.dir")
+        if not named and not context.master.startswith("local["):
+            raise InvalidConfiguration("spark.checkpoint.dir must name a folder that all executors share")
+        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="corpusloom-checkpoint-"))
+    folder = context._jsc.sc().getCheckpointDir().get()
+    if not getattr(context, "_corpusloom_folder", None):
+        context._corpusloom_folder = folder
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(context._jsc.hadoopConfiguration()).deleteOnExit(path)
+    return folder
+
+
+def checkpoint(df: DataFrame) -> DataFrame:
+    """A reliable checkpoint in the shared folder, so that lost executors cost no recomputation."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def written(df: DataFrame) -> DataFrame:
+    """The same rows from a Parquet table in the shared folder: compressed, and read by column."""
+    path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def forget(df: DataFrame) -> None:
+    """Delete the files of a ``written`` table that is no longer read."""
+    spark = df.sparkSession
+    for name in {f.rpartition("/")[0] for f in df.inputFiles()}:
+        if "/table-" in name:
+            path = spark._jvm.org.apache.hadoop.fs.Path(name)
+            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)

@@ -21,7 +21,7 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition,
 from ..config import MAX_RECORD_BYTES, TARGET_RECORD_BYTES, TextConfig, XmlConfig
 from ..errors import InvalidConfiguration, IoError, RecordError, XmlError
 from ..functions import textsplit, xmltok
-from ..session import checkpoint, tune
+from ..session import checkpoint, map_arrow, tune
 
 SCHEMA = "filename string, part int, local bigint, bytes binary, position bigint"
 _ARROW = pa.schema([("filename", pa.string()), ("part", pa.int32()), ("local", pa.int64()), ("bytes", pa.binary()), ("position", pa.int64())])
@@ -371,4 +371,4 @@ def scan_column(df: DataFrame, key: str, data: str, config: XmlConfig | TextConf
             yield pa.RecordBatch.from_arrays([pa.array(keys, batch.schema.field(0).type), pa.array(local, pa.int64()), pa.array(out, pa.binary())], names=[key, "local", "bytes"])
 
     chosen = df.select(key, F.col(data).cast("binary").alias("bytes")).where("bytes is not null")
-    return chosen.mapInArrow(cut, f"{key} {df.schema[key].dataType.simpleString()}, local bigint, bytes binary")
+    return map_arrow(chosen, cut, f"{key} {df.schema[key].dataType.simpleString()}, local bigint, bytes binary")
