@@ -10,13 +10,16 @@ from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.markup import record_text
 from ..functions.words import LETTERS
+from ..session import map_arrow, written
 
 MIN_LETTERS = 4
+#: Terms of one in so many records count as common.
+COMMON = 1000
 _SCHEMA = pa.schema([("index", pa.int64()), ("term", pa.string()), ("tf", pa.int64())])
 
 
@@ -44,7 +47,7 @@ def record_terms(records: DataFrame, index: str = "index", data: str = "bytes",
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(names, pa.string()), pa.array(times, pa.int64())], schema=_SCHEMA)
 
     chosen = records.select(F.col(index).cast("bigint").alias("index"), F.col(data).cast("binary").alias("bytes"), F.col(form).alias("form"))
-    return chosen.where("index is not null and bytes is not null").mapInArrow(count, "index bigint, term string, tf bigint")
+    return map_arrow(chosen.where("index is not null and bytes is not null"), count, "index bigint, term string, tf bigint")
 
 
 def text_terms(texts: DataFrame, key: str, text: str, least: int = MIN_LETTERS) -> DataFrame:
@@ -58,19 +61,36 @@ def text_terms(texts: DataFrame, key: str, text: str, least: int = MIN_LETTERS)
 def statistics(counts: DataFrame) -> DataFrame:
     """term, df (records), cf (occurrences), records (all), residual: over all rows of (index, term, tf)."""
     # a term stands once per record, so counting is a plain sum with map-side combination; the null term counts the records
-    every = counts.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
-    records = every.where("term is null").select("df").scalar()
-    terms = every.where("term is not null").withColumn("records", records)
-    observed = -F.log2(F.col("df") / F.col("records"))
-    expected = -F.log2(-F.expm1(-F.col("cf") / F.col("records")))
-    return terms.withColumn("residual", observed - expected)
+    every = counts.where("term is not null").groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
+    terms = every.withColumn("records", counts.where("term is null").agg(F.count("*")).scalar())
+    return terms.withColumn("residual", _residual(F.col("df"), F.col("cf"), F.col("records")))
+
+
+def _residual(df: Column, cf: Column, records: Column) -> Column:
+    return F.log2(-F.expm1(-cf / records)) - F.log2(df / records)
 
 
 def scores(counts: DataFrame) -> DataFrame:
-    """index, term, tf, df, cf, score = tf x residual, for each row of (index, term, tf) with a term.
+    """index, term, tf, df, cf, records, residual, score = tf x residual, for each row of (index, term, tf) with a term.
+
+    Terms of at least one in ``COMMON`` records are looked up in a table that is sent to every task; as all terms of all records add up, there are at
+    most ``COMMON`` times as many as a record has on average. So no term that many rows share is joined by shuffling. Equal scores are ties and stay so.
+    Empty input gives no rows.
+    """
+    counts = written(counts)  # tokenised once; read by column for the statistics and for the scores
+    stats = written(statistics(counts))
+    common = F.broadcast(stats.where(F.col("df") * COMMON >= F.col("records")))
+    rows = counts.where("term is not null")
+    rest = rows.join(common.select("term"), "term", "left_anti").join(stats.where(F.col("df") * COMMON < F.col("records")), "term")
+    out = rows.join(common, "term").unionByName(rest)
+    return out.select("index", "term", "tf", "df", "cf", "records", "residual", (F.col("tf") * F.col("residual")).alias("score"))
+
+
+def concentrated(scored: DataFrame, tf: int, df: int) -> DataFrame:
+    """Terms that stand at least ``tf`` times in a record and in at most ``df`` records, by their scores.
 
-    Equal scores are ties and stay so. Empty input gives no rows.
+    A score is compared with ``tf`` times the least residual that such a term can have; what passes is then checked exactly.
     """
-    stats = statistics(counts).select("term", "df", "cf", "residual")
-    joined = counts.where("term is not null").join(stats, "term")
-    return joined.select("index", "term", "tf", "df", "cf", (F.col("tf") * F.col("residual")).alias("score"))
+    # with d records there are at least tf + d - 1 occurrences, and the residual grows with these
+    least = F.least(*[_residual(F.lit(d), F.lit(tf + d - 1), F.col("records")) for d in range(1, df + 1)]) if df > 1 else _residual(F.lit(1), F.lit(tf), F.col("records"))
+    return scored.where((F.col("score") >= F.col("tf") * (least - 1e-9)) & (F.col("tf") >= tf)).where(F.col("df") <= df)

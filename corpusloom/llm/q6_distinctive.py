@@ -14,19 +14,20 @@ def _scores(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def found(spark: SparkSession, folder: str) -> DataFrame:
-    return _scores(spark, folder).where("tf >= 4 and df <= 3").select("index", "term")
+    """Terms whose scores show them concentrated in few records, checked for how many."""
+    return distinctive.concentrated(_scores(spark, folder), 4, 3).select("index", "term")
 
 
 def scored(spark: SparkSession, folder: str) -> DataFrame:
     """Every term of every record with its score."""
-    return _scores(spark, folder)
+    return _scores(spark, folder).drop("records", "residual")
 
 
 def previews(spark: SparkSession, folder: str) -> DataFrame:
     """Every term of the element texts of every preview, with its score over all previews."""
     one = load(spark, folder, "previews").where("index is not null and elements is not null").groupBy("index").agg(F.min("elements").alias("elements"))
     texts = one.select("index", F.array_join(F.transform("elements", lambda e: F.coalesce(e["text"], F.lit(""))), "\n").alias("text"))
-    return distinctive.scores(distinctive.text_terms(texts, "index", "text")).withColumn("score", F.round("score", 4))
+    return distinctive.scores(distinctive.text_terms(texts, "index", "text")).drop("records", "residual").withColumn("score", F.round("score", 4))
 
 
 QUERIES = {"p6_found": found, "p6_terms": scored, "p6_previews": previews}

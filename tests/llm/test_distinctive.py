@@ -21,3 +21,17 @@ def test_scores_equal_brute_force(spark):
     plain = spark.createDataFrame([(k, t) for k, t in texts.items()] + [(99, None)], "id bigint, t string")
     again = {(r["index"], r["term"]): (r["tf"], r["df"]) for r in distinctive.scores(distinctive.text_terms(plain, "id", "t")).collect()}
     assert again == {k: (r["tf"], r["df"]) for k, r in got.items()}
+    rare = {tuple(r) for r in distinctive.concentrated(distinctive.scores(distinctive.record_terms(df)), 2, 2).select("index", "term").collect()}
+    assert rare == {(k, t) for k, t in got if counts[k][t] >= 2 and df_[t] <= 2}
+
+
+def test_concentrated_terms_at_any_size(spark):
+    for n in (1, 2, 3, 10, 5000):
+        rows = [(k, None, 0) for k in range(n)]
+        for d in range(1, min(n, 5) + 1):
+            rows += [(k, f"edge{d}", 4 if k == 0 else 1) for k in range(d)] + [(k, f"much{d}", 4000) for k in range(d)] + [(k, f"less{d}", 3) for k in range(d)]
+        rows += [(k, "every", 9) for k in range(n)]
+        counts = spark.createDataFrame(rows, "index bigint, term string, tf bigint")
+        got = {tuple(r) for r in distinctive.concentrated(distinctive.scores(counts), 4, 3).select("index", "term").collect()}
+        df_ = Counter(t for _, t, _ in rows)
+        assert got == {(k, t) for k, t, tf in rows if t and tf >= 4 and df_[t] <= 3}, n
