@@ -46,16 +46,23 @@ def brute(data, limit):
     return "word" if size(re.split(rb"[ \t\n\r\f\v]+", data)) <= limit else "none"
 
 
-@settings(max_examples=400, deadline=None)
-@given(TEXT, st.integers(4, 60))
-def test_boundary_equals_brute_force(text, limit):
+@settings(max_examples=600, deadline=None)
+@given(TEXT, st.integers(4, 60), st.integers(0, 30))
+def test_cuts_tell_the_boundary(text, limit, overlap):
     data = text.encode()
-    assert pieces.boundary_of(data, limit) == brute(data, limit)
+    parts = pieces.split(data, limit, min(overlap, limit // 2))
+    if len(data) > limit:
+        units = pieces._Units(data)
+        needed = [units.needed(a + o, limit) for a, _, o, _ in parts[1:]]
+        assert pieces.LEVELS[max(needed)] == brute(data, limit)
 
 
-def test_too_small_a_limit_is_refused():
+def test_small_limits():
+    for limit, overlap in ((10, 6), (3, 1), (1, 0)):  # no overlap that leaves no room for new text
+        parts = pieces.split(b"x" * 100, limit, overlap)
+        assert rebuilt(b"x" * 100, parts) == b"x" * 100 and all(z - a <= limit and o == 0 for a, z, o, _ in parts)
     with pytest.raises(InvalidConfiguration):
-        pieces.split(b"x" * 100, 10, 6)
+        pieces.split(b"x" * 100, 0, 0)
 
 
 def test_operator_on_awkward_rows(spark):
@@ -66,4 +73,5 @@ def test_operator_on_awkward_rows(spark):
     assert sum(r["index"] == 5 and r["piece"] == 0 for r in out) == 2
     joined = b"".join(bytes(r["piece_bytes"])[r["overlap"] :] for r in sorted((r for r in out if r["index"] == 4), key=lambda r: r["piece"]))
     assert joined == b"word " * 2000
-    assert pieces.oversized_pieces(df.limit(0)).count() == 0
+    assert {r["index"]: r["boundary"] for r in pieces.boundaries(pieces.oversized_pieces(df)).collect()} == {4: "word", 5: "none"}
+    assert pieces.oversized_pieces(df.limit(0)).count() == 0 == pieces.boundaries(pieces.oversized_pieces(df.limit(0))).count()
