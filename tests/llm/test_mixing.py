@@ -46,9 +46,27 @@ def test_plan_and_mix(spark):
 def test_tree_splits_exactly():
     rng = np.random.default_rng(0)
     for quotas, shards in (([10, 0, 7], 4), ([4096] * 9, 16), ([1], 3), ([5, 5], 1)):
-        tree = mixing.split_tree(quotas, shards, rng)
+        room = mixing.even_room(sum(quotas), shards)
+        tree = mixing.split_tree(quotas, room, rng)
         assert tree.sum(axis=0).tolist() == quotas and (tree >= 0).all()
-        assert tree.sum(axis=1).max() - tree.sum(axis=1).min() <= 4
+        assert tree.sum(axis=1).tolist() == room and max(room) - min(room) <= 1
+
+
+def test_passes_come_from_the_tree(spark, monkeypatch):
+    _, df, targets = tables(spark)
+    planned = mixing.plan(mixing.sizes_of(df), targets)
+    want = {(r["source"], r["passes"], r["outcome"]) for r in planned.collect() if r["needed_passes"] and r["needed_passes"] > 1}
+    for group, broadcast in ((500, 1000), (1, 0)):  # one group, and as many as there are passes; sent, and joined
+        monkeypatch.setattr(mixing, "GROUP", group)
+        monkeypatch.setattr(mixing, "MAX_BROADCAST", broadcast)
+        config = mixing.MixConfig(shards=5, blocks=64)
+        drawn = mixing.draws(planned, config).collect()
+        per_shard = [sum(r["drawn"][k] for r in drawn) for k in range(5)]
+        assert max(per_shard) - min(per_shard) <= 1
+        assert all(sorted(r["shard_of"]).count(k) >= r["drawn"][k] for r in drawn for k in range(5))
+        assert {tuple(r) for r in mixing.passes_drawn(mixing.draws(planned, config), config).collect()} == want
+        rows = mixing.checks(mixing.mix(df, targets, config), planned).collect()
+        assert {r["source"] for r in rows} == {"big", "small", "tiny"} and all(r["repeated"] == 0 and r["enough"] and r["tight"] for r in rows)
 
 
 def test_tokens(spark):
