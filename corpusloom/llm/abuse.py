@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..errors import InvalidConfiguration
+from ..session import map_arrow
 
 CATEGORIES = ("abusive", "hateful", "sexual")
 _ORDINARY = "clean"
@@ -351,7 +352,7 @@ def score(documents: DataFrame, scorer: Scorer | None, config: AbuseConfig = Abu
             )
 
     chosen = documents.select(F.col(id).cast("bigint").alias("doc_id"), F.col(text).alias("text")).where("doc_id is not null")
-    return chosen.mapInArrow(rate, schema)
+    return map_arrow(chosen, rate, schema)
 
 
 def rates(scored: DataFrame, sources: DataFrame) -> DataFrame:

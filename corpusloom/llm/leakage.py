@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from ..errors import InvalidConfiguration
 from ..functions.words import WORD
-from ..session import checkpoint
+from ..session import checkpoint, map_arrow
 
 
 @dataclass(frozen=True)
@@ -117,7 +117,7 @@ def encode(documents: DataFrame, items: _Items, id: str, text: str) -> DataFrame
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], names=["doc_id", "codes"])
 
     chosen = documents.select(F.col(id).cast("bigint").alias("doc_id"), F.col(text).alias("text")).where("doc_id is not null and text is not null")
-    return chosen.mapInArrow(code, "doc_id bigint, codes binary")
+    return map_arrow(chosen, code, "doc_id bigint, codes binary")
 
 
 def _document_frequencies(encoded: DataFrame, n: int) -> tuple[np.ndarray, int]:
@@ -130,7 +130,7 @@ def _document_frequencies(encoded: DataFrame, n: int) -> tuple[np.ndarray, int]:
         total[n] = documents
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(n + 1)), pa.array(total)], names=["code", "n"])
 
-    rows = encoded.select("codes").mapInArrow(count, "code bigint, n bigint").groupBy("code").agg(F.sum("n").alias("n")).toPandas()  # as many rows as the items have words
+    rows = map_arrow(encoded.select("codes"), count, "code bigint, n bigint").groupBy("code").agg(F.sum("n").alias("n")).toPandas()  # as many rows as the items have words
     out = np.zeros(n + 1, dtype=np.int64)
     out[rows["code"]] = rows["n"]
     return out[:n], int(out[n])
@@ -157,7 +157,7 @@ def latent_space(sample: DataFrame, items: _Items, idf: np.ndarray, config: Leak
                     out += a.T @ (a @ sent.value)
             yield pa.RecordBatch.from_arrays([pa.array([out.tobytes()], pa.binary())], names=["part"])
 
-        parts = sample.select("codes").coalesce(16).mapInArrow(multiply, "part binary").collect()
+        parts = map_arrow(sample.select("codes").coalesce(16), multiply, "part binary").collect()
         product = sum((np.frombuffer(bytes(r["part"])).reshape(n, width) for r in parts), np.zeros((n, width)))
         for a in _chunks(own, idf):
             product += a.T @ (a @ basis)
@@ -342,4 +342,4 @@ def leaks(documents: DataFrame, items: DataFrame, config: LeakConfig = LeakConfi
             kinds = (pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.float64(), pa.bool_(), pa.string())
             yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(columns, kinds, strict=True)], names=["doc_id", "item_id", "cosine", "run", "subsequence", "answer", "kind"])
 
-    return encoded.mapInArrow(search, SCHEMA)
+    return map_arrow(encoded, search, SCHEMA)

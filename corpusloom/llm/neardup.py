@@ -29,7 +29,7 @@ from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 
 from ..errors import InvalidConfiguration
 from ..functions.words import words
-from ..session import checkpoint
+from ..session import checkpoint, map_arrow
 
 
 @dataclass(frozen=True)
@@ -231,7 +231,7 @@ def bit_sets(texts: DataFrame, config: NearConfig, frequent: np.ndarray, id: str
             yield pa.RecordBatch.from_arrays([pa.array(v, f.type) for v, f in zip(columns, _SETS, strict=True)], schema=_SETS)
 
     chosen = texts.select(F.col(id).cast("bigint").alias("id"), F.col(text).alias("text")).where("id is not null and text is not null")
-    return chosen.mapInArrow(parse, "id bigint, same binary, bits array<bigint>, anchors array<bigint>, words bigint")
+    return map_arrow(chosen, parse, "id bigint, same binary, bits array<bigint>, anchors array<bigint>, words bigint")
 
 
 def frequent_words(texts: DataFrame, config: NearConfig, text: str = "text") -> np.ndarray:
@@ -246,7 +246,7 @@ def frequent_words(texts: DataFrame, config: NearConfig, text: str = "text") ->
         yield pa.RecordBatch.from_arrays([pa.array([w for w, _ in top], pa.string()), pa.array([n for _, n in top], pa.int64())], names=["word", "n"])
 
     some = texts.select(F.col(text).alias("text")).where("text is not null").limit(config.sample)
-    rows = some.mapInArrow(count, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "word").limit(config.max_frequent_words).collect()
+    rows = map_arrow(some, count, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "word").limit(config.max_frequent_words).collect()
     # no word of fewer than one in a hundred texts is frequent; with few texts every common word still is
     least = max(2, config.sample // 100 if len(rows) >= config.max_frequent_words else max((r["n"] for r in rows), default=0) // 50)
     return np.sort(np.array([xxhash.xxh64_intdigest(r["word"]) for r in rows if r["n"] >= least], dtype=np.uint64))
@@ -304,7 +304,7 @@ def near_duplicates(texts: DataFrame, config: NearConfig = NearConfig(), id: str
             yield pa.RecordBatch.from_arrays([ids, pa.array(sizes, pa.int64()), batch.column(1), batch.column(2), pa.array(out, pa.list_(pa.int64())), *(pa.array(m) for m in marks.T)], names=["id", "n", "bits", "anchors", "keys", *marked])
 
     marked = [f"m{k}" for k in range(_LONGS)]
-    indexed = checkpoint(reps.mapInArrow(index_keys, "id bigint, n bigint, bits array<bigint>, anchors array<bigint>, keys array<bigint>, " + ", ".join(f"{m} bigint" for m in marked)))
+    indexed = checkpoint(map_arrow(reps, index_keys, "id bigint, n bigint, bits array<bigint>, anchors array<bigint>, keys array<bigint>, " + ", ".join(f"{m} bigint" for m in marked)))
     total = indexed.count()
     every = max(1, total // config.sample)
     some = indexed.where(F.pmod(F.xxhash64("id"), F.lit(every)) == 0).select(F.explode("keys").alias("key"))
@@ -325,7 +325,7 @@ def near_duplicates(texts: DataFrame, config: NearConfig = NearConfig(), id: str
             yield pa.RecordBatch.from_arrays([*batch.columns[:1], *batch.columns[3:], pa.array(pairs, lists), pa.array(singles, lists)], names=["id", "n", *marked, "pairs", "singles"])
 
     lists = ArrayType(LongType())
-    probing = checkpoint(indexed.select("id", "bits", "anchors", "n", *marked).mapInArrow(probe_keys, StructType([StructField(c, LongType()) for c in ("id", "n", *marked)] + [StructField(c, lists) for c in ("pairs", "singles")])))
+    probing = checkpoint(map_arrow(indexed.select("id", "bits", "anchors", "n", *marked), probe_keys, StructType([StructField(c, LongType()) for c in ("id", "n", *marked)] + [StructField(c, lists) for c in ("pairs", "singles")])))
     differ = " + ".join(f"bit_count({m}_a ^ {m}_b)" for m in marked)
     allowed = f"n_a + n_b - 2 * ceil({t / (1 + t)} * (n_a + n_b) - 1e-6)"
     near = F.expr(f"(n_b < n_a or n_b = n_a and b < a) and n_b >= {t} * n_a - 1e-9 and {differ} <= {allowed}")

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.markup import xml_elements
+from ..session import map_arrow
 from ..tables import distinct_by, load, records_with_form, spread
 from . import residue
 
@@ -31,7 +32,7 @@ def _record_items(records: DataFrame) -> DataFrame:
             n = len(batch)
             yield pa.RecordBatch.from_arrays([pa.array(["records"] * n), batch.column(0), batch.column(1), pa.array(out, pa.string())], names=["src", "item_id", "host", "text"])
 
-    return records.select("index", "corpus", "bytes", "form", "record_element").mapInArrow(read, "src string, item_id bigint, host string, text string").where("text is not null")
+    return map_arrow(records.select("index", "corpus", "bytes", "form", "record_element"), read, "src string, item_id bigint, host string, text string").where("text is not null")
 
 
 def _records(spark: SparkSession, folder: str) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.markup import xml_elements
+from ..session import map_arrow
 from ..tables import load, records_with_form
 from . import quality
 
@@ -28,7 +29,7 @@ def _texts(spark: SparkSession, folder: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.string())], names=["index", "text"])
 
     records = records_with_form(spark, folder, F.expr("form = 'txt' or form = 'xml' and record_element = 'article'"))
-    return records.select("index", "bytes", "form").mapInArrow(read, "index bigint, text string").where("text is not null")
+    return map_arrow(records.select("index", "bytes", "form"), read, "index bigint, text string").where("text is not null")
 
 
 def statistics(spark: SparkSession, folder: str) -> DataFrame:

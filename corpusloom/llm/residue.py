@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..errors import InvalidConfiguration
-from ..session import checkpoint
+from ..session import checkpoint, map_arrow
 
 KINDS = ("html", "markdown", "wiki", "latex")
 
@@ -396,7 +396,7 @@ def parsed(items: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(found, pa.list_(pa.string())), pa.array(trees, pa.list_(_BLOCK))], names=["src", "item_id", "host", "markup", "blocks"])
 
     chosen = items.select("src", F.col("item_id").cast("bigint").alias("item_id"), "host", "text").where("item_id is not null and text is not null")
-    return chosen.mapInArrow(parse, PARSED)
+    return map_arrow(chosen, parse, PARSED)
 
 
 def markup_of(items: DataFrame) -> DataFrame:

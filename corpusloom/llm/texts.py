@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.markup import record_text
+from ..session import map_arrow
 
 
 def record_texts(records: DataFrame, index: str = "index", data: str = "bytes", form: str = "form") -> DataFrame:
@@ -20,4 +21,4 @@ def record_texts(records: DataFrame, index: str = "index", data: str = "bytes",
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], names=["index", "text"])
 
     chosen = records.select(F.col(index).cast("bigint").alias("index"), F.col(data).cast("binary").alias("bytes"), F.col(form).alias("form"))
-    return chosen.where("index is not null and bytes is not null").mapInArrow(read, "index bigint, text string").where("text is not null")
+    return map_arrow(chosen.where("index is not null and bytes is not null"), read, "index bigint, text string").where("text is not null")
