@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.markup import xml_elements
 from ..session import map_arrow
-from ..tables import distinct_by, load, records_with_form, spread
+from ..tables import load, once, placed, records_with_form, spread
 from . import residue
 
 #: Elements whose text is looked at, by record element.
@@ -40,24 +40,27 @@ def _records(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _fragments(spark: SparkSession, folder: str) -> DataFrame:
-    own = load(spark, folder, "fragments").where("fragment_id is not null and record is not null")
-    return spread(own.select("fragment_id", "record")).select(F.lit("fragments").alias("src"), F.col("fragment_id").alias("item_id"), F.lit(None).cast("string").alias("host"), F.col("record").alias("text"))
+    own = placed(load(spark, folder, "fragments")).where("fragment_id is not null and record is not null").select("fragment_id", "record", "_place")
+    return spread(once(own, "fragment_id", "record")).select(F.lit("fragments").alias("src"), F.col("fragment_id").alias("item_id"), F.lit(None).cast("string").alias("host"), F.col("record").alias("text"))
+
+
+def _items(spark: SparkSession, folder: str) -> DataFrame:
+    return _records(spark, folder).unionByName(_fragments(spark, folder))
 
 
 def clean(spark: SparkSession, folder: str) -> DataFrame:
     """The clean text of every item; records lose their corpus's template."""
-    items = _records(spark, folder).unionByName(distinct_by(_fragments(spark, folder), "item_id", ["text"]))
-    return residue.cleaned(residue.parsed(items))
+    return residue.cleaned(_items(spark, folder))
 
 
 def found(spark: SparkSession, folder: str) -> DataFrame:
-    """The kinds of markup of every cleaned item, its template included."""
-    return residue.markup_of(clean(spark, folder))
+    """The kinds of markup of every item, in what is kept of it and in what is deleted as its host's template."""
+    return residue.markup(_items(spark, folder)).select("src", "item_id", F.explode(F.array_union("kept", "template")).alias("markup"))
 
 
 def templates(spark: SparkSession, folder: str) -> DataFrame:
     """The template subtrees of every corpus."""
-    return residue.templates(residue.parsed(_records(spark, folder)))
+    return residue.templates(residue.parsed(_records(spark, folder), texts=False))
 
 
 QUERIES = {"p1_found": found, "p1_clean": clean, "p1_templates": templates}

@@ -36,16 +36,21 @@ CASES = [
 @pytest.mark.parametrize(("text", "kinds"), CASES)
 def test_kinds(text, kinds):
     assert residue.scan(text).kinds == kinds
+    assert residue.tree(text).kinds == kinds
 
 
 def shape(text):
-    return [(k, t or [p for p, _ in parts]) for k, t, _, parts in residue.blocks(text)[1]]
+    found: dict = {}
+    for block, line, kind, own, _ in residue.tree(text).runs:
+        lines = found.setdefault(block, (kind, {}))[1]
+        lines[line] = lines.get(line, "") + own
+    return [(k, list(v.values()) if k in ("list", "table") else v[0]) for k, v in found.values()]
 
 
 def test_blocks_keep_structure():
     assert shape("== Head ==\nSome '''bold''' [[a|words]].<ref>no</ref>\n\n* one\n* two") == [("heading", "Head"), ("paragraph", "Some bold words."), ("list", ["one", "two"])]
     assert shape("<h2 id='x'>Head</h2><p>a &amp; b</p><ul><li>one<li>two</ul>") == [("heading", "Head"), ("paragraph", "a & b"), ("list", ["one", "two"])]
-    assert shape("# Head\n\n~~~\ncode  here\n~~~\n\n| a | b |\n|---|---|\n| 1 | 2 |") == [("heading", "Head"), ("code", "code  here"), ("table", ["a\tb", "1\t2"])]
+    assert shape("# Head\n\n~~~\ncode  here\n~~~\n\n| a | b |\n|---|---|\n| 1 | 2 |") == [("heading", "Head"), ("code", "code  here"), ("table", ["a | b", "1 | 2"])]
     assert shape("\\section{Head}\nText \\emph{here} with $x^2$.\n\n\\[ y^2 \\]\n\\begin{itemize}\n\\item one\n\\item two\n\\end{itemize}") == [
         ("heading", "Head"),
         ("paragraph", "Text here with $x^2$."),
@@ -60,28 +65,44 @@ def test_blocks_keep_structure():
 def test_templates_go_and_rows_survive(spark):
     pages = [("s", k, "h", f"== Menu ==\n* home\n* about\n\nText number {k} of its own.\n\n* item {k}\n* about") for k in range(30)]
     pages += [("s", 100, None, "== Menu ==\n\nno host"), ("s", 101, "h", ""), ("s", None, "h", "x"), ("s", 102, "h", None), ("s", 103, "g", "<b>x</b>")]
-    df = spark.createDataFrame([(*p, "clash", 1) for p in pages], "src string, item_id bigint, host string, text string, markup string, blocks int")
-    parsed = residue.parsed(df)
-    assert {r["items"] for r in residue.templates(parsed).collect()} == {30}
-    out = {r["item_id"]: r for r in residue.cleaned(parsed).collect()}
+    df = spark.createDataFrame([(*p, "clash", 1) for p in pages], "src string, item_id bigint, host string, text string, markup string, marks int")
+    assert {r["items"] for r in residue.templates(residue.parsed(df)).collect()} == {30}
+    out = {r["item_id"]: r for r in residue.cleaned(df).collect()}
     assert len(out) == 33
-    assert out[3]["text"] == "Text number 3 of its own.\n\n- item 3" and out[3]["removed"] == 5
+    assert out[3]["text"] == "Text number 3 of its own.\n\n- item 3" and out[3]["removed"] == 5 and out[3]["markup"] == []
     assert out[100]["text"] == "# Menu\n\nno host" and out[101]["text"] == "" and out[103]["text"] == "x"
-    few = {r["item_id"]: r["text"] for r in residue.cleaned(parsed, residue.ResidueConfig(max_broadcast=1)).collect()}
+    few = {r["item_id"]: r["text"] for r in residue.cleaned(df, residue.ResidueConfig(max_broadcast=1)).collect()}
     assert few == {k: r["text"] for k, r in out.items()}
-    assert {(r["item_id"], r["markup"]) for r in residue.markup_of(parsed).collect()} >= {(103, "html"), (3, "wiki")}
-    assert residue.cleaned(residue.parsed(df.limit(0))).count() == 0
+    kinds = {r["item_id"]: (r["kept"], r["template"]) for r in residue.markup(df).collect()}
+    assert kinds[3] == ([], ["wiki"]) and kinds[100] == (["wiki"], []) and kinds[103] == (["html"], []) and kinds[101] == ([], [])
+    assert residue.cleaned(df.limit(0)).count() == 0 == residue.markup(df.limit(0)).count()
+
+
+def test_subtrees_of_elements_are_templates(spark):
+    page = "<body><nav><ul><li><a href='/{k}'>Home page</a></li><li>Item {k}</li></ul></nav><div><span>Site header</span> own text {k}</div><p>Words <b>of</b> {k}.</p><footer>All <i>rights kept</i> here</footer></body>"
+    df = spark.createDataFrame([("s", k, "h", page.replace("{k}", str(k))) for k in range(40)], "src string, item_id bigint, host string, text string")
+    out = {r["item_id"]: r["text"] for r in residue.cleaned(df).collect()}
+    assert out[7] == "- Item 7\n\nown text 7\n\nWords of 7."
+    kinds = residue.markup(df).collect()
+    assert all(r["kept"] == ["html"] == r["template"] for r in kinds)
+
+
+def test_every_text_gives_a_tree():
+    for text in ("</div></b>x<br/>y", "<p>a<p>b<li>c", "\x011\x02 \x0e5\x0f \x04", "<div>" * 3000 + "deep words" + "</div>" * 3000, "<table><tr><td>a<td>b", "line\n<b>two words</b> <i>x y</i>"):
+        found = residue.tree(text)
+        assert all(0 <= a <= z <= len(found.runs) for _, a, z, _ in found.nodes), text[:40]
+    assert [r[3] for r in residue.tree("line\n<b>two words</b> <i>x y</i> z").runs] == ["line\n", "two words", " x y", " z"]
+    assert residue.tree("for $x = " + "a + " * 200 + "b$ it").kinds == {"latex"}
 
 
 def test_block_elements_stand_apart():
     for name in ("aside", "main", "form", "address", "details", "title", "label"):
-        _, found = residue.blocks(f"<p>The mill stood here.</p>Own words <{name}>Subscribe to our letter</{name}> and more.")
-        assert "Subscribe to our letter" in [b[1] for b in found], name
+        assert ("paragraph", "Subscribe to our letter") in shape(f"<p>The mill stood here.</p>Own words <{name}>Subscribe to our letter</{name}> and more."), name
 
 
 def test_nested_templates_and_commands_are_unwrapped():
     deep = "{{lang|fr|" * 5 + "moulin" + "}}" * 5
-    _, found = residue.blocks(f"'''Mill''' is [[old]] {deep} here.\n\n== Past ==\nText.")
+    found = shape(f"'''Mill''' is [[old]] {deep} here.\n\n== Past ==\nText.")
     assert "moulin" in found[0][1] and "{" not in found[0][1]
-    _, found = residue.blocks("\\section{Mill}\nAn \\textbf{\\emph{\\textit{\\textsc{\\texttt{old}}}}} mill \\cite{a}.")
-    assert any("An old mill" in b[1] for b in found) and not any("\\" in b[1] for b in found)
+    found = shape("\\section{Mill}\nAn \\textbf{\\emph{\\textit{\\textsc{\\texttt{old}}}}} mill \\cite{a}.")
+    assert any("An old mill" in t for _, t in found) and not any("\\" in t for _, t in found)
