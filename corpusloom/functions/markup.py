@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import re
+from collections.abc import Iterator
 from xml.parsers import expat
 
 
@@ -81,83 +82,81 @@ def xml_elements(data: bytes | None, names: tuple[str, ...]) -> list[tuple[str,
     return [(name, "".join(text)) for name, text in out]
 
 
-def json_value(data: bytes | None) -> object | None:
-    """The parsed JSON record, as pairs where it has objects (repeated keys are kept); None if ill-formed."""
-    if data is None:
-        return None
-    try:
-        text = data.decode("utf-8-sig")
-        try:
-            return json.loads(text, object_pairs_hook=Pairs)
-        except RecursionError:
-            return _deep_json(text)
-    except ValueError:
-        return None
-
-
-class Pairs(list):
-    """A JSON object's name and value pairs, in order."""
-
-
+#: What a JSON text consists of; ``NAME`` and ``SCALAR`` come with a name, or with the value as a string (numbers as they are written, null as None).
+OBJECT, OBJECT_END, ARRAY, ARRAY_END, NAME, SCALAR = range(6)
 _BLANK = re.compile(r"[ \t\n\r]*")
-_SCALAR = json.JSONDecoder().scan_once
-
+_SCAN = json.JSONDecoder().scan_once
 
-def _deep_json(text: str) -> object:
-    """As json.loads, by a stack of open objects and arrays, so at any depth."""
 
-    def skip(at: int) -> int:
-        return _BLANK.match(text, at).end()
-
-    def scalar(at: int) -> tuple[object, int]:
-        try:
-            return _SCALAR(text, at)
-        except StopIteration:
-            raise ValueError(f"no value at {at}") from None
-
-    def key(at: int) -> tuple[str, int]:
-        if text[at : at + 1] != '"':
-            raise ValueError(f"no name at {at}")
-        name, at = scalar(at)
-        at = skip(at)
-        if text[at : at + 1] != ":":
-            raise ValueError(f"no colon at {at}")
-        return name, skip(at + 1)
-
-    #: open containers, objects with the name whose value is awaited
-    stack: list[tuple[list, str | None]] = []
-    at = skip(0)
+def json_events(text: str) -> Iterator[tuple[int, str | None]]:
+    """The parts of a JSON text one after another, at any depth; ValueError where it isn't well-formed, after what stands before."""
+    skip = _BLANK.match
+    #: whether each open container is an object
+    inside: list[bool] = []
+    at = skip(text).end()
     while True:
         opened = text[at : at + 1]
         if opened in ("{", "["):
-            at = skip(at + 1)
-            value = Pairs() if opened == "{" else []
-            if text[at : at + 1] != ("}" if opened == "{" else "]"):
-                name, at = key(at) if opened == "{" else (None, at)
-                stack.append((value, name))
+            is_object = opened == "{"
+            yield (OBJECT if is_object else ARRAY), None
+            at = skip(text, at + 1).end()
+            if text[at : at + 1] != ("}" if is_object else "]"):
+                inside.append(is_object)
+                if is_object:
+                    name, at = _json_name(text, at)
+                    yield NAME, name
                 continue
             at += 1
+            yield (OBJECT_END if is_object else ARRAY_END), None
         else:
-            value, at = scalar(at)
+            try:
+                value, end = _SCAN(text, at)
+            except StopIteration:
+                raise ValueError(f"no value at {at}") from None
+            yield SCALAR, value if value is None or isinstance(value, str) else text[at:end]
+            at = end
         while True:
-            at = skip(at)
-            if not stack:
+            at = skip(text, at).end()
+            if not inside:
                 if at != len(text):
                     raise ValueError(f"more at {at}")
-                return value
-            container, name = stack[-1]
-            container.append(value if name is None else (name, value))
+                return
             sign = text[at : at + 1]
+            at += 1
             if sign == ",":
-                at = skip(at + 1)
-                if name is not None:
-                    name, at = key(at)
-                    stack[-1] = (container, name)
+                at = skip(text, at).end()
+                if inside[-1]:
+                    name, at = _json_name(text, at)
+                    yield NAME, name
                 break
-            if sign != ("]" if name is None else "}"):
-                raise ValueError(f"no end at {at}")
-            value, at = container, at + 1
-            stack.pop()
+            if sign != ("}" if inside[-1] else "]"):
+                raise ValueError(f"no end at {at - 1}")
+            yield (OBJECT_END if inside.pop() else ARRAY_END), None
+
+
+def _json_name(text: str, at: int) -> tuple[str, int]:
+    """A name and where its value begins."""
+    if text[at : at + 1] != '"':
+        raise ValueError(f"no name at {at}")
+    name, at = _SCAN(text, at)
+    at = _BLANK.match(text, at).end()
+    if text[at : at + 1] != ":":
+        raise ValueError(f"no colon at {at}")
+    return name, _BLANK.match(text, at + 1).end()
+
+
+def is_json(data: bytes) -> bool:
+    """Whether a record is well-formed JSON, of any depth."""
+    try:
+        text = data.decode("utf-8-sig")
+        try:
+            json.loads(text)
+        except RecursionError:
+            for _ in json_events(text):
+                pass
+    except ValueError:
+        return False
+    return True
 
 
 def record_text(data: bytes | None, form: str | None) -> str | None:
@@ -169,6 +168,6 @@ def record_text(data: bytes | None, form: str | None) -> str | None:
         return None
     if form == "xml":
         return xml_text(data)
-    if form == "json" and json_value(data) is None:
+    if form == "json" and not is_json(data):
         return None
     return data.decode("utf-8", "replace")
