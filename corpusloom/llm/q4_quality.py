@@ -38,7 +38,8 @@ def statistics(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def found(spark: SparkSession, folder: str) -> DataFrame:
-    return statistics(spark, folder).where("kind <> 'prose'").select("index", "kind")
+    """Texts that fail published rules and are named otherwise than prose."""
+    return statistics(spark, folder).where("size(reasons) > 0 and kind <> 'prose'").select("index", "kind")
 
 
 def reasons(spark: SparkSession, folder: str) -> DataFrame:
@@ -49,16 +50,17 @@ def reasons(spark: SparkSession, folder: str) -> DataFrame:
 def preview_sizes(spark: SparkSession, folder: str) -> DataFrame:
     """Words, common words and lines of the abstracts as they stand in previews."""
     one = load(spark, folder, "previews").where("index is not null and elements is not null").groupBy("index").agg(F.min("elements").alias("elements"))
-    texts = one.select("index", F.expr("get(filter(elements, e -> e.name = 'abstract' and e.text is not null), 0).text").alias("text")).where("text is not null")
+    texts = one.select("index", F.expr("filter(elements, e -> e.name = 'abstract' and e.text is not null).text").alias("texts")).where("size(texts) > 0").select("index", F.array_join("texts", "\n").alias("text"))
     return quality.statistics(texts).select("index", "words", "lines", F.round("mean_word", 6).alias("mean_word"))
 
 
 QUERIES = {"p4_found": found, "p4_statistics": statistics, "p4_reasons": reasons, "p4_previews": preview_sizes}
-_CLEAN = r"regexp_replace(regexp_replace(text, '\r\n?', chr(10), 'g'), '<[/!]?[A-Za-z][^<>]{0,300}>|\\(?:begin|end)\{[a-z*]+\}(?:\{[^{}]{0,40}\})?|\\(?:item|textbf|textit|emph|section|subsection|cite|ref|label)\b|&[a-z]+;', ' ', 'g')"
+_CLEAN = r"regexp_replace(regexp_replace(text, '\r\n?', chr(10), 'g'), '<[/!]?[A-Za-z][^<>]*>|\\(?:begin|end)\{[a-z*]+\}(?:\{[^{}]*\})?|\\(?:item|textbf|textit|emph|section|subsection|cite|ref|label)\b|&[a-z]+;', ' ', 'g')"
 SQL = {
     "p4_previews": rf"""
 with one as (select index, min(elements) as elements from previews where index is not null and elements is not null group by index),
-texts as (select index, list_filter(elements, lambda e: e.name = 'abstract' and e.text is not null)[1].text as text from one),
+own as (select index, list_filter(elements, lambda e: e.name = 'abstract' and e.text is not null) as found from one),
+texts as (select index, array_to_string(list_transform(found, lambda e: e.text), chr(10)) as text from own where len(found) > 0),
 cleaned as (select index, {_CLEAN} as t from texts where text is not null),
 counted as (select index, len(regexp_extract_all(t, '[\p{{L}}\p{{N}}]+')) as words, len(list_filter(string_split(t, chr(10)), lambda x: length(trim(x, ' ')) > 0)) as lines,
   len(regexp_extract_all(t, '\p{{L}}')) + len(regexp_extract_all(t, '\p{{N}}')) as signs from cleaned)

@@ -17,11 +17,9 @@ COMMON_WORDS = (
     + "der die das den dem des ein eine einen einem einer und in zu mit von für auf ist war waren nicht auch an als so sich dass im es er sie wie bei nach aus noch zum zur man aber oder wurde wurden hat haben seit nur sondern kaum damit weil um".split()
     + "el la los las un una unos unas de del y en que con por para su sus no es era eran se lo al como más pero o si había han ha habían antes entre tan ni cuando según desde".split()
 )
-_COMMON = "|".join(sorted(set(COMMON_WORDS)))
 _WORD = r"[\p{L}\p{N}]+"
-_COMMON_WORD = rf"(?<![\p{{L}}\p{{N}}])(?:{_COMMON})(?![\p{{L}}\p{{N}}])"
 #: A tag, a command or an environment of markup, and a wiki link's brackets, which count as nothing.
-_MARKUP = r"<[/!]?[A-Za-z][^<>]{0,300}>|\\(?:begin|end)\{[a-z*]+\}(?:\{[^{}]{0,40}\})?|\\(?:item|textbf|textit|emph|section|subsection|cite|ref|label)\b|&[a-z]+;"
+_MARKUP = r"<[/!]?[A-Za-z][^<>]*>|\\(?:begin|end)\{[a-z*]+\}(?:\{[^{}]*\})?|\\(?:item|textbf|textit|emph|section|subsection|cite|ref|label)\b|&[a-z]+;"
 
 
 def statistics(texts: DataFrame, key: str = "index", text: str = "text") -> DataFrame:
@@ -33,43 +31,42 @@ def statistics(texts: DataFrame, key: str = "index", text: str = "text") -> Data
     """
     t = F.coalesce(F.regexp_replace(F.regexp_replace(F.coalesce(F.col(text), F.lit("")), "\r\n?", "\n"), _MARKUP, " "), F.lit(""))
     base = texts.where(F.col(key).isNotNull()).select(F.col(key).alias("key"), t.alias("t"))
-    count = lambda column, pattern: F.regexp_count(column, F.lit(pattern))
-    share = lambda a, b: F.when(b > 0, a / b).otherwise(0.0)
-    low = F.lower("t")
-    lines = F.filter(F.split("t", "\n"), lambda x: F.length(F.trim(x)) > 0)
+    count = lambda pattern, column="t": F.regexp_count(column, F.lit(pattern))
+    kept = lambda pattern: F.length("t") - F.length(F.regexp_replace("t", pattern, ""))
+    share = lambda a, b: F.when(F.col(b) > 0, F.col(a) / F.col(b)).otherwise(0.0).alias(a)
     many = lambda pattern: F.size(F.filter("ls", lambda x: x.rlike(pattern)))
-    s = base.select("key", "t", F.length("t").alias("chars"), count(F.col("t"), _WORD).alias("words"), lines.alias("ls"), low.alias("low"))
-    words, n = F.col("words"), F.size("ls")
-    letters, digits = count(F.col("t"), r"\p{L}"), count(F.col("t"), r"\p{N}")
-    s = s.withColumns({"letters": letters, "digits": digits, "lines": n})
-    common = F.regexp_extract_all("low", F.lit(_COMMON_WORD), F.lit(0))
-    visible = count(F.col("t"), r"\S")
-    return s.select(
+    known = sorted(set(COMMON_WORDS))
+    low = F.lower("t")
+    s = base.select("key", "t", low.alias("low"), F.filter(F.split("t", "\n"), lambda x: F.length(F.trim(x)) > 0).alias("ls"), F.regexp_extract_all(low, F.lit(_WORD), F.lit(0)).alias("ws"))
+    # every count is taken once, in a projection of its own, since shares use some of them twice
+    counts = s.select(
         F.col("key").alias(key),
-        "chars",
-        "words",
-        "letters",
-        share(F.col("letters") + F.col("digits"), words).alias("mean_word"),
-        share(count(F.col("t"), r"[^\p{L}\p{N}\s.,;:!?'’\"()\-]"), words).alias("symbols_per_word"),
-        share(count(F.col("t"), r"[\p{N}]*\p{L}[\p{L}\p{N}]*"), words).alias("alpha_words"),
-        share(F.size(common), words).alias("common_share"),
-        F.size(F.array_distinct(common)).alias("common_distinct"),
-        "lines",
-        share(words, F.col("lines")).alias("line_words"),
-        share(many(r"[.!?…:][\"'”’)\]]*\s*$"), F.col("lines")).alias("punctuated_lines"),
-        share(many(r"^\s*([-*•+#]|\(?[\p{L}\p{N}]{1,3}[.)])\s"), F.col("lines")).alias("bullet_lines"),
-        share(many(r"(…|\.\.\.)\s*$"), F.col("lines")).alias("ellipsis_lines"),
-        share(F.col("lines") - F.size(F.array_distinct(F.transform("ls", lambda x: F.regexp_replace(x, r"[\W\d]+", " ")))), F.col("lines")).alias("repeated_lines"),
-        count(F.col("t"), r"\p{Ll}[\"'”’)]*[.!?](\s|$)").alias("sentence_ends"),
-        share(many(r"\S(\t|\s*\|\s*|;| {3,}|,)\S.*\S?(\t|\s*\|\s*|;| {3,}|,)\S"), F.col("lines")).alias("cells"),
-        count(F.col("t"), r"[,;]\s").alias("separators"),
-        share(F.col("digits"), visible).alias("digits_share"),
-        share(visible - F.col("letters") - F.col("digits") - count(F.col("t"), r"[.,;:!?'’\"()\-]"), visible).alias("odd_share"),
-        count(F.col("t"), r"\S{40,}").alias("long_words"),
-        share(count(F.col("t"), r"(?<!\S)\p{Lu}?\p{Ll}{2,}(?=[\s.,;:!?]|$)"), words).alias("plain_words"),
-        share(count(F.regexp_replace("t", r"\[\[[^\[\]]*\]\]|\{\{[^{}]*\}\}", " "), r"\p{L}[^\p{L}\p{N}\s.,'’\-_&/\\<>()\[\]{}=*\"^$]\p{L}|\p{L}\p{N}\p{L}"), words).alias("broken_words"),
-        share(count(F.col("low"), r"(?<![\p{L}\p{N}])[bcdfghjklmnpqrstvwxz]{4,}"), words).alias("vowelless"),
+        F.length("t").alias("chars"),
+        count(_WORD).alias("words"),
+        kept(r"\p{L}+").alias("letters"),
+        kept(r"\p{N}+").alias("digits"),
+        (F.length("t") - count(r"\s")).alias("visible"),
+        count(r"[^\p{L}\p{N}\s.,;:!?'’\"()\-]").alias("symbols_per_word"),
+        count(r"[\p{N}]*\p{L}[\p{L}\p{N}]*").alias("alpha_words"),
+        F.size(F.filter("ws", lambda w: w.isin(known))).alias("common_share"),
+        F.size(F.array_intersect("ws", F.array(*map(F.lit, known)))).alias("common_distinct"),
+        F.size("ls").alias("lines"),
+        many(r"[.!?…:][\"'”’)\]]*\s*$").alias("punctuated_lines"),
+        many(r"^\s*([-*•+#]|\(?[\p{L}\p{N}]{1,3}[.)])\s").alias("bullet_lines"),
+        many(r"(…|\.\.\.)\s*$").alias("ellipsis_lines"),
+        (F.size("ls") - F.size(F.array_distinct(F.transform("ls", lambda x: F.regexp_replace(x, r"[\W\d]+", " "))))).alias("repeated_lines"),
+        count(r"\p{Ll}[\"'”’)]*[.!?](\s|$)").alias("sentence_ends"),
+        many(r"\S(\t|\s*\|\s*|;| {3,}|,)\S.*\S?(\t|\s*\|\s*|;| {3,}|,)\S").alias("cells"),
+        count(r"[,;]\s").alias("separators"),
+        count(r"[.,;:!?'’\"()\-]").alias("plain_signs"),
+        count(r"\S{40,}").alias("long_words"),
+        count(r"(?<!\S)\p{Lu}?\p{Ll}{2,}(?=[\s.,;:!?]|$)").alias("plain_words"),
+        F.regexp_count(F.regexp_replace("t", r"\[\[[^\[\]]*\]\]|\{\{[^{}]*\}\}", " "), F.lit(r"\p{L}[^\p{L}\p{N}\s.,'’\-_&/\\<>()\[\]{}=*\"^$]\p{L}|\p{L}\p{N}\p{L}")).alias("broken_words"),
+        F.size(F.filter("ws", lambda w: w.rlike("^[bcdfghjklmnpqrstvwxz]{4}"))).alias("vowelless"),
     )
+    counts = counts.withColumns({"mean_word": F.col("letters") + F.col("digits"), "odd_share": F.col("visible") - F.col("letters") - F.col("digits") - F.col("plain_signs"), "digits_share": F.col("digits"), "line_words": F.col("words")})
+    by_words, by_lines, by_signs = ([share(c, b) for c in names.split()] for names, b in (("mean_word symbols_per_word alpha_words common_share plain_words broken_words vowelless", "words"), ("line_words punctuated_lines bullet_lines ellipsis_lines repeated_lines cells", "lines"), ("digits_share odd_share", "visible")))
+    return counts.select(key, "chars", "words", "letters", "common_distinct", "lines", "sentence_ends", "separators", "long_words", *by_words, *by_lines, *by_signs)
 
 
 #: Conditions on the statistics under which a text fails, by reason.
@@ -92,8 +89,9 @@ def judged(stats: DataFrame) -> DataFrame:
     return stats.withColumn("reasons", F.filter(F.array(*[F.when(F.expr(rule), F.lit(name)) for name, rule in RULES.items()]), lambda x: x.isNotNull()))
 
 
-#: What a text mostly is. Prose has common words in every sentence and whole words; of the rest, tables have rows of cells, junk has odd
-#: signs within words, words without vowels or overlong ones, or the same line again and again, and lists have short lines or many separators.
+#: What a text mostly is that fails a rule. Prose has common words in every sentence and whole words, and fails for being short or full of signs; of the
+#: rest, tables have rows of cells, junk has odd signs within words, words without vowels or overlong ones, or the same line again and again, and lists
+#: have short lines or many separators. The thresholds here are this project's own.
 KIND = """case
   when words = 0 or broken_words > 0.15 and cells * lines < 2 then 'junk'
   when common_share >= 0.15 and repeated_lines <= 0.5 then 'prose'
@@ -104,5 +102,9 @@ KIND = """case
 
 
 def kinds(stats: DataFrame) -> DataFrame:
-    """The statistics with ``kind``: prose, list, table or junk. An empty or null text is junk."""
-    return judged(stats).withColumn("kind", F.expr(KIND))
+    """The statistics with ``reasons`` and ``kind``: prose, list, table or junk.
+
+    The published rules decide which texts may be anything but prose: one that fails none is prose, one that fails some is named by ``KIND``. An
+    empty or null text fails them and is junk.
+    """
+    return judged(stats).withColumn("kind", F.when(F.size("reasons") == 0, "prose").otherwise(F.expr(KIND)))
