@@ -36,7 +36,7 @@ def records_with_form(spark: SparkSession, folder: str, wanted: Column | None =
         config = config.where(wanted)
     records = placed(load(spark, folder, "records")).where("bytes is not null and index is not null").select("index", "bytes", "corpus", "_place")
     joined = records.join(config, "corpus")
-    return once(joined if suited is None else joined.where(suited), "index", "bytes")
+    return spread(once(joined if suited is None else joined.where(suited), "index", "bytes"), "index")
 
 
 def once(rows: DataFrame, key: str, data: str) -> DataFrame:
@@ -61,7 +61,7 @@ def distinct_by(df: DataFrame, key: str, large: list[str]) -> DataFrame:
     return best.select(key, *[F.col(f"_best.{c}").alias(c) for c in rest])
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Over as many partitions as there are cores, where a small file would keep all but one idle; larger tables stay as they are read."""
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Over as many partitions as there are cores, where a small file would keep most of them idle; larger tables stay as they are read."""
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, *keys)
