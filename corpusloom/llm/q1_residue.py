@@ -41,7 +41,7 @@ def _records(spark: SparkSession, folder: str) -> DataFrame:
 
 def _fragments(spark: SparkSession, folder: str) -> DataFrame:
     own = placed(load(spark, folder, "fragments")).where("fragment_id is not null and record is not null").select("fragment_id", "record", "_place")
-    return spread(once(own, "fragment_id", "record")).select(F.lit("fragments").alias("src"), F.col("fragment_id").alias("item_id"), F.lit(None).cast("string").alias("host"), F.col("record").alias("text"))
+    return spread(once(own, "fragment_id", "record"), "fragment_id").select(F.lit("fragments").alias("src"), F.col("fragment_id").alias("item_id"), F.lit(None).cast("string").alias("host"), F.col("record").alias("text"))
 
 
 def _items(spark: SparkSession, folder: str) -> DataFrame:

@@ -11,7 +11,7 @@ from .leakage import leaks
 
 def leaked(spark: SparkSession, folder: str) -> DataFrame:
     """Exact leaks and paraphrases with what speaks for them."""
-    return leaks(spread(load(spark, folder, "documents").select("doc_id", "text")), load(spark, folder, "eval_items"))
+    return leaks(spread(load(spark, folder, "documents").select("doc_id", "text"), "doc_id"), load(spark, folder, "eval_items"))
 
 
 def found(spark: SparkSession, folder: str) -> DataFrame:

@@ -12,7 +12,7 @@ def scores(spark: SparkSession, folder: str) -> DataFrame:
     """Every document's score in every category."""
     documents = load(spark, folder, "documents").select("doc_id", "text")
     scorer = abuse.fit(abuse.labelled_sample(documents, load(spark, folder, "content_labels")))
-    return abuse.score(spread(documents), scorer)
+    return abuse.score(spread(documents, "doc_id"), scorer)
 
 
 def found(spark: SparkSession, folder: str) -> DataFrame:
