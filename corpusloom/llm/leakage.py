@@ -13,8 +13,10 @@ from __future__ import annotations
 import unicodedata
 from collections.abc import Iterator
 from dataclasses import dataclass
+from math import ceil
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -38,13 +40,13 @@ class LeakConfig:
     paraphrase_share: float = 0.6
     #: Documents on which the decomposition is fitted; document frequencies count all of them.
     sample: int = 8192
-    #: Items are a stated query set, held whole by every task; more of them are refused.
-    max_items: int = 20_000
+    #: Items are a stated query set, held by every task in blocks of at most so many words (or one item); each block is one more pass over the documents.
+    block_words: int = 200_000
     seed: int = 5
 
     def __post_init__(self) -> None:
-        if self.words < 2 or self.rank < 1 or self.sample < 1:
-            raise InvalidConfiguration("words must be at least 2, rank and sample at least 1")
+        if self.words < 2 or min(self.rank, self.sample, self.block_words) < 1:
+            raise InvalidConfiguration("words must be at least 2, rank, sample and block_words at least 1")
 
 
 def normal_words(text: str | None) -> list[str]:
@@ -64,6 +66,7 @@ class _Items:
         self.words = [code(t) for t in texts]
         self.answers = [code(a) for a in answers]
         step = max(1, size // 2)
+        #: Passages to be searched for
         self.passages = [(n, w[k : k + 2 * size]) for n, w in enumerate(self.words) for k in range(0, max(1, len(w) - 2 * size + step), step) if len(w)]
         runs = [(h, n, k) for n, w in enumerate(self.words) for k, h in enumerate(_runs(w, size, self.none).tolist())]
         runs.sort()
@@ -136,16 +139,24 @@ def _document_frequencies(encoded: DataFrame, n: int) -> tuple[np.ndarray, int]:
     return out[:n], int(out[n])
 
 
+#: Rows of a matrix that are added up together.
+_ROWS = 1024
+
+
 def latent_space(sample: DataFrame, items: _Items, idf: np.ndarray, config: LeakConfig) -> np.ndarray:
     """(words x rank) right singular vectors of the TF-IDF passages of ``sample`` and of all items.
 
-    Each round sends a (words x rank) matrix to the tasks, and gets one back from each, of which there are at most 16.
+    Each round sends a (words x rank) matrix to the tasks. What comes back is added up in blocks of rows by the tasks, so the driver gets one such matrix.
     """
     n, size, spark = len(idf), config.words, sample.sparkSession
     width = min(n, config.rank + config.oversampling)
     basis = np.linalg.qr(np.random.default_rng(config.seed).standard_normal((n, width)))[0].astype(np.float32)
     own = [p for _, p in items.passages]
 
+    def add(parts: pd.DataFrame) -> pd.DataFrame:
+        total = sum(np.frombuffer(p) for p in parts["part"])
+        return pd.DataFrame({"row": parts["row"][:1], "part": [total.tobytes()]})
+
     for _ in range(config.rounds):
         sent = spark.sparkContext.broadcast(basis)
 
@@ -155,10 +166,13 @@ def latent_space(sample: DataFrame, items: _Items, idf: np.ndarray, config: Leak
                 passages = [p for c in batch.column(0).to_pylist() for p in _cut(np.frombuffer(c, dtype=np.int32), size) if (p < n).sum() >= size]
                 for a in _chunks(passages, idf):
                     out += a.T @ (a @ sent.value)
-            yield pa.RecordBatch.from_arrays([pa.array([out.tobytes()], pa.binary())], names=["part"])
+            rows = list(range(0, n, _ROWS))
+            yield pa.RecordBatch.from_arrays([pa.array(rows, pa.int64()), pa.array([out[k : k + _ROWS].tobytes() for k in rows], pa.binary())], names=["row", "part"])
 
-        parts = map_arrow(sample.select("codes").coalesce(16), multiply, "part binary").collect()
-        product = sum((np.frombuffer(bytes(r["part"])).reshape(n, width) for r in parts), np.zeros((n, width)))
+        parts = map_arrow(sample.select("codes").coalesce(16), multiply, "row bigint, part binary").groupBy("row").applyInPandas(add, "row bigint, part binary").collect()
+        product = np.zeros((n, width))
+        for r in parts:
+            product[r["row"] : r["row"] + _ROWS] = np.frombuffer(bytes(r["part"])).reshape(-1, width)
         for a in _chunks(own, idf):
             product += a.T @ (a @ basis)
         left, _, _ = np.linalg.svd(product, full_matrices=False)
@@ -179,6 +193,8 @@ class _Search:
         vectors = np.stack([self.places[p].sum(0) for _, p in items.passages])
         self.vectors = (vectors / np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-9)).T.copy()
         self.owner = np.array([n for n, _ in items.passages])
+        # with fewer known words a passage can't share enough of any item's passage
+        self.least_known = max(1, ceil(config.paraphrase_share * min(len(p) for _, p in items.passages)))
 
     def candidates(self, codes: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, ...]:
         """document, item, cosine, place of the document's passage, item's passage: the nearest of each document and item, and all that may be paraphrases.
@@ -196,7 +212,7 @@ class _Search:
         goes_on = np.concatenate((owner[1:] == owner[:-1], [False]))
         count = count + np.where(goes_on, np.concatenate((count[1:], [0])), 0)
         last = ~goes_on & np.concatenate(([False], owner[1:] == owner[:-1]))  # wholly in the passage before
-        chosen = np.flatnonzero((count >= size) & ~last)
+        chosen = np.flatnonzero((count >= self.least_known) & ~last)
         found: list[tuple[np.ndarray, ...]] = []
         end = np.concatenate((at[1:], [len(codes)]))
         step = max(16, 4_000_000 // self.vectors.shape[1])  # products of a chunk take 16 MB
@@ -283,25 +299,42 @@ def _holds(codes: np.ndarray, part: np.ndarray) -> bool | None:
     return bool(same.any())
 
 
-SCHEMA = "doc_id bigint, item_id bigint, cosine double, run bigint, subsequence double, answer boolean, kind string"
+SCHEMA = "doc_id bigint, item_id bigint, cosine double, near boolean, run bigint, subsequence double, answer boolean, kind string"
 
 
 def leaks(documents: DataFrame, items: DataFrame, config: LeakConfig = LeakConfig(), id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, item_id, cosine, run, subsequence, answer, kind of every document that holds part of an item.
+    """doc_id, item_id, cosine, near, run, subsequence, answer, kind of every document that holds part of an item.
 
     ``kind`` is exact (``run``, the longest run of common words, has ``words`` or more) or paraphrase (no such run, but cosine and the share
     of the longest common subsequence of two passages reach their limits; the nearest such passages are shown). ``answer`` says whether the item's answer stands in the
-    document; null without an answer. Items are (item_id, text, answer); repeated ids count once. Rows with a null id or
+    document; null without an answer. ``near`` says whether the cosine search found the pair, which shows its recall of the exact ones. Items are (item_id, text, answer); repeated ids count once. Rows with a null id or
     text give nothing; documents are told apart by row, so an id given twice may come twice. Other columns are ignored.
     """
+    own = items.where("item_id is not null").groupBy("item_id").agg(F.min("text").alias("text"), F.min("answer").alias("answer")).orderBy("item_id")
+    out = documents.sparkSession.createDataFrame([], SCHEMA)
+    for block in _blocks(own, config):
+        known = _Items(block, config.words)
+        if known.passages:
+            out = out.unionByName(_leaks_of(documents, known, config, id, text))
+    return out
+
+
+def _blocks(items: DataFrame, config: LeakConfig) -> Iterator[list[tuple[int, str | None, str | None]]]:
+    """Items in blocks of bounded size, read one partition at a time."""
+    block, held = [], 0
+    for r in items.toLocalIterator():
+        size = len(r["text"] or "") // 4 + len(r["answer"] or "") // 4 + 1  # no fewer than its words, as a rule
+        if block and held + size > config.block_words:
+            yield block
+            block, held = [], 0
+        block.append((r["item_id"], r["text"], r["answer"]))
+        held += size
+    if block:
+        yield block
+
+
+def _leaks_of(documents: DataFrame, known: _Items, config: LeakConfig, id: str, text: str) -> DataFrame:
     spark, size = documents.sparkSession, config.words
-    own = items.where("item_id is not null").groupBy("item_id").agg(F.min("text").alias("text"), F.min("answer").alias("answer")).orderBy("item_id").limit(config.max_items + 1)
-    rows = [(r["item_id"], r["text"], r["answer"]) for r in own.collect()]
-    if len(rows) > config.max_items:
-        raise InvalidConfiguration(f"more than {config.max_items} items")
-    known = _Items(rows, size)
-    if not known.passages:
-        return spark.createDataFrame([], SCHEMA)
     encoded = checkpoint(encode(documents, known, id, text))
     frequency, total = _document_frequencies(encoded, known.none)
     idf = np.log((total + 1) / (frequency + 1)).astype(np.float32) + np.float32(1e-3)
@@ -313,7 +346,7 @@ def leaks(documents: DataFrame, items: DataFrame, config: LeakConfig = LeakConfi
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         engine = sent.value
         for batch in batches:
-            kept = [(i, np.frombuffer(c, dtype=np.int32)) for i, c in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) if len(c) >= 4 * size]
+            kept = [(i, np.frombuffer(c, dtype=np.int32)) for i, c in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) if len(c)]
             out: list[tuple] = []
             if kept:
                 starts = np.concatenate(([0], np.cumsum([len(c) for _, c in kept])))
@@ -337,9 +370,9 @@ def leaks(documents: DataFrame, items: DataFrame, config: LeakConfig = LeakConfi
                     if run or share >= config.paraphrase_share:
                         done.add((d, n))
                         answer = _holds(kept[d][1], engine.items.answers[n])
-                        out.append((kept[d][0], int(engine.items.ids[n]), c, run, share, answer, "exact" if run else "paraphrase"))
-            columns = list(zip(*out, strict=True)) if out else [()] * 7
-            kinds = (pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.float64(), pa.bool_(), pa.string())
-            yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(columns, kinds, strict=True)], names=["doc_id", "item_id", "cosine", "run", "subsequence", "answer", "kind"])
+                        out.append((kept[d][0], int(engine.items.ids[n]), c, (d, n) in near, run, share, answer, "exact" if run else "paraphrase"))
+            columns = list(zip(*out, strict=True)) if out else [()] * 8
+            kinds = (pa.int64(), pa.int64(), pa.float64(), pa.bool_(), pa.int64(), pa.float64(), pa.bool_(), pa.string())
+            yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(columns, kinds, strict=True)], names=["doc_id", "item_id", "cosine", "near", "run", "subsequence", "answer", "kind"])
 
     return map_arrow(encoded, search, SCHEMA)

@@ -24,4 +24,10 @@ def by_suite(spark: SparkSession, folder: str) -> DataFrame:
     return leaked(spark, folder).join(suites, "item_id").groupBy("suite", "kind").agg(F.count("*").alias("leaks"), F.countDistinct("item_id").alias("items"), F.count(F.when(F.col("answer"), 1)).alias("with_answer"))
 
 
-QUERIES = {"p7_found": found, "p7_leaks": leaked, "p7_suites": by_suite}
+def recall(spark: SparkSession, folder: str) -> DataFrame:
+    """Of the exact leaks, how many the cosine search had found by itself."""
+    near = F.count(F.when(F.col("near"), 1))
+    return leaked(spark, folder).groupBy("kind").agg(F.count("*").alias("leaks"), near.alias("near"), (near / F.count("*")).alias("recall"))
+
+
+QUERIES = {"p7_found": found, "p7_leaks": leaked, "p7_suites": by_suite, "p7_recall": recall}

@@ -42,6 +42,8 @@ def test_equals_brute_force(spark):
     want = brute([x for x in documents if x[0] is not None and x[1]], items, 12)
     assert want and exact == want
     assert all(r["run"] >= 12 for r in found if r["kind"] == "exact") and all(r["answer"] is None for r in found if items[r["item_id"]][2] in (None, ""))
+    blocks = leaks(df, it, LeakConfig(rank=48, block_words=120)).where("kind = 'exact'").collect()  # the items in many blocks
+    assert sorted((r["doc_id"], r["item_id"]) for r in blocks) == sorted(want)
     assert leaks(df.limit(0), it).count() == 0 and leaks(df, it.limit(0)).count() == 0
 
 
@@ -79,6 +81,28 @@ def test_second_nearest_passage_may_be_the_paraphrase(spark):
     assert [(r["doc_id"], r["kind"]) for r in rows] == [(1, "paraphrase")]
 
 
+def test_recall_of_paraphrases(spark):
+    rng = random.Random(11)
+    words = [f"w{k}" for k in range(3000)]
+    items = [(k, " ".join(rng.choice(words) for _ in range(rng.choice([24, 60]))), None) for k in range(100)]
+    documents, planted = [], set()
+    for d in range(800):
+        w = [rng.choice(words) for _ in range(rng.choice([5, 80, 200]))]
+        if d % 4 == 0:
+            source = items[rng.randrange(100)]
+            own = source[1].split()[:24]
+            for k in range(3, 24, 7):  # every seventh word is another, so no run is left
+                own[k] = rng.choice(words)
+            planted.add((d, source[0]))
+            at = rng.randrange(len(w))
+            w[at:at] = own
+        documents.append((d, " ".join(w)))
+    df = spark.createDataFrame(documents, "doc_id bigint, text string")
+    rows = leaks(df, spark.createDataFrame(items, "item_id bigint, text string, answer string")).collect()
+    found = {(r["doc_id"], r["item_id"]) for r in rows if r["kind"] == "paraphrase"}
+    assert found <= planted and len(found & planted) >= 0.9 * len(planted)
+
+
 def test_common_subsequence():
     rng = random.Random(1)
     for _ in range(200):
