@@ -30,6 +30,8 @@ _ORDINARY = "clean"
 class AbuseConfig:
     #: Labelled documents the models are fitted on: at most so many of each category, and of clean ones.
     max_labelled: int = 4000
+    #: Bytes of their texts in all, of which each category and clean have an even share; what is over is left out, whole documents at a time.
+    max_bytes: int = 64 << 20
     rounds: int = 3
     #: Nats a word above which a sentence of a labelled document is taken for its cause.
     margin: float = 0.5
@@ -40,10 +42,12 @@ class AbuseConfig:
     seed: int = 3
 
     def __post_init__(self) -> None:
-        if self.max_labelled < 1 or self.stretch < 3:
-            raise InvalidConfiguration("max_labelled must be positive, stretch at least 3")
+        if self.max_labelled < 1 or self.max_bytes < 1 or self.stretch < 3:
+            raise InvalidConfiguration("max_labelled and max_bytes must be positive, stretch at least 3")
 
 
+#: The threshold where nothing is known, and for how many held-out cases it counts beside them: few cases tell little.
+_PRIOR, _PRIOR_CASES = 1.5, 50
 # Letters of other scripts, and signs, that are written for Latin letters.
 _LOOKS = str.maketrans("аеорсухкмтвніјѕԁɡαεοριντκυ", "aeopcyxkmtbhijsdgaeopivtky")
 _SIGNS = str.maketrans("013457$@", "oieastsa")
@@ -184,7 +188,7 @@ class Scorer:
         self.shared = (counts + 0.5) / (counts.sum() + 0.5 * self.size)
         self.models = {c: _Model(t, self.size) for c, t in by_class.items()}
         self.categories = [c for c in CATEGORIES if c in self.models]
-        self.thresholds = {c: 1.5 for c in self.categories}
+        self.thresholds = {c: _PRIOR for c in self.categories}
 
     def likelihoods(self, bag: _Bag, names: list[str]) -> np.ndarray:
         """(sentences x classes) padded mean of the log-likelihoods of words; empty sentences have -inf."""
@@ -262,18 +266,26 @@ def _train(documents: list[list[list[str]]], labels: list[set[str]], config: Abu
     return scorer(np.ones(len(bag.lengths), dtype=bool), False)
 
 
-#: Thresholds stay in these bounds: labelled documents are richer in cases than others, and halves know fewer expressions than the whole.
-_THRESHOLDS = (1.5, 2.0)
+#: Thresholds whose F1 on held-out documents is less than the best by no more than this are taken for as good.
+_AS_GOOD = 0.01
 
 
 def _threshold(scores: np.ndarray, truth: np.ndarray) -> float:
-    """The score from which on taking documents has the best F1 over held-out ones."""
+    """From the range of scores about the best F1 over held-out documents, from which on taking documents is as good, the place two thirds up, as the
+    documents without labels are more varied than those with; drawn to ``_PRIOR``."""
     order = np.argsort(-scores, kind="stable")
-    hits = np.cumsum(truth[order])
+    ranked, hits = scores[order], np.cumsum(truth[order])
     f = 2 * hits / (np.arange(1, len(order) + 1) + truth.sum())
-    best = int(f.argmax())
-    low = scores[order[best + 1]] if best + 1 < len(order) else scores[order[best]] - 1
-    return float(np.clip((scores[order[best]] + low) / 2, *_THRESHOLDS))
+    f[:-1][ranked[:-1] == ranked[1:]] = -1  # documents of one score are taken together
+    good = f >= f.max() - _AS_GOOD
+    first = last = int(f.argmax())
+    while first > 0 and (good[first - 1] or f[first - 1] < 0):
+        first -= 1
+    while last + 1 < len(f) and (good[last + 1] or f[last + 1] < 0):
+        last += 1
+    low = ranked[last + 1] if last + 1 < len(ranked) else ranked[last] - 1
+    cases = int(truth.sum())
+    return float((cases * (2 * ranked[first] + low) / 3 + _PRIOR_CASES * _PRIOR) / (cases + _PRIOR_CASES))
 
 
 def fit(labelled: list[tuple[str | None, set[str]]], config: AbuseConfig = AbuseConfig()) -> Scorer | None:
@@ -307,7 +319,7 @@ def labelled_sample(documents: DataFrame, labels: DataFrame, config: AbuseConfig
     """(text, categories) of labelled documents: all, up to ``max_labelled`` of each category and of clean ones, by a hash of their id.
 
     Labels are read without case and outer space; null and unknown ones are ignored. A document that is called clean and something
-    else keeps the latter.
+    else keeps the latter. Both bounds hold for every label by itself, in the order of the hash, so the driver gets a bounded sample of any table.
     """
     label = F.lower(F.trim("label"))
     own = labels.select("doc_id", label.alias("label")).where(F.col("label").isin(*CATEGORIES, _ORDINARY)).distinct()
@@ -315,9 +327,11 @@ def labelled_sample(documents: DataFrame, labels: DataFrame, config: AbuseConfig
     own = own.withColumns({"_hash": F.xxhash64("doc_id"), "_part": F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(64))})
     for parts in ("label, _part", "label"):
         own = own.withColumn("_rank", F.expr(f"row_number() over (partition by {parts} order by _hash, doc_id)")).where(F.col("_rank") <= config.max_labelled)
-    ids = own.groupBy("doc_id").agg(F.collect_set("label").alias("labels"))
     # at most four times max_labelled rows: the bounded side is sent to the documents, and what comes back is as bounded
-    rows = documents.select("doc_id", "text").join(F.broadcast(ids), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.first("labels").alias("labels")).orderBy("doc_id").collect()
+    found = documents.select("doc_id", "text").join(F.broadcast(own.select("doc_id", "label", "_hash")), "doc_id").groupBy("doc_id", "label", "_hash").agg(F.min("text").alias("text"))
+    size = "sum(coalesce(octet_length(text), 0)) over (partition by label order by _hash, doc_id)"
+    kept = found.withColumn("_size", F.expr(size)).where(F.col("_size") <= config.max_bytes // (len(CATEGORIES) + 1))
+    rows = kept.groupBy("doc_id").agg(F.min("text").alias("text"), F.collect_set("label").alias("labels")).orderBy("doc_id").collect()
     return [(r["text"], {x for x in r["labels"] if x != _ORDINARY}) for r in rows]
 
 

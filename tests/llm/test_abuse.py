@@ -62,6 +62,10 @@ def test_operator_on_awkward_rows(spark):
     labels = spark.createDataFrame([(k, c.upper() + " ") for k, _, x in data for c in (x or {"clean"})] * 2 + [(3, None), (4, "odd"), (None, "clean")], "doc_id bigint, label string")
     sample = abuse.labelled_sample(documents, labels)
     assert len(sample) == 200 and sorted(map(str, (x for _, x in sample))) == sorted(map(str, (x for _, _, x in data)))
+    few = abuse.labelled_sample(documents, labels, abuse.AbuseConfig(max_bytes=16_000))  # whole texts, up to 4,000 bytes a label
+    assert 0 < len(few) < 200 and {t for t, _ in few} <= {t for t, _ in sample}
+    for label in ("clean", "abusive", "hateful"):
+        assert sum(len(t.encode()) for t, x in few if (label in x or label == "clean" and not x)) <= 4_000
     scored = abuse.score(documents, abuse.fit(sample))
     rows = scored.collect()
     assert len(rows) == 203 * 2 and {r["score"] for r in rows if r["doc_id"] in (900, 901)} == {None} and not any(r["flagged"] for r in rows if r["doc_id"] in (900, 901))
@@ -69,3 +73,11 @@ def test_operator_on_awkward_rows(spark):
     assert rates[None, "abusive"]["documents"] == 1 and rates["s", "abusive"]["flagged"] == sum(r["flagged"] for r in rows if r["category"] == "abusive")
     assert abuse.score(documents, None).count() == 0 and abuse.score(documents.limit(0), abuse.fit(sample)).count() == 0
     assert abuse.fit([]) is None and abuse.fit([("x y z", {"abusive"})]) is None
+
+
+def test_thresholds_are_fitted():
+    scores, truth = np.array([5, 4, 4, 3, 1, 0, -1.0]), np.array([1, 1, 1, 1, 0, 0, 0], dtype=bool)
+    # any score from 3 down to 1 is the best; two thirds up that range, drawn to the prior by four cases against fifty
+    assert abs(abuse._threshold(scores, truth) - (4 * (2 * 3 + 1) / 3 + 50 * 1.5) / 54) < 1e-9
+    many = abuse._threshold(np.repeat(scores + 7, 1000), np.repeat(truth, 1000))
+    assert abs(many - (7 + 7 / 3)) < 0.1
