@@ -63,7 +63,10 @@ def answer(engine: RecordEngine, line: str, path: str = "") -> Iterable[str]:
             numbers = [w for w in words if w.isdigit()]
             if numbers:
                 engine.set_checkpoint_interval(int(numbers[0]))
-            yield f"prepared {engine.prep()} records"
+            steps: list[int] = []
+            total = engine.prep(steps.append)
+            yield from (f"{n} records" for n in steps[:-1])
+            yield f"prepared {total} records"
         case "showpreptable" if rest.strip():
             found = engine.preview_at(int(rest))
             if found is None:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
+from pyspark import Accumulator
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -56,8 +57,8 @@ def text_prefix(text: str, target: int) -> str:
     return text.encode()[:target].decode("utf-8", "ignore") if len(text) * 4 > target else text
 
 
-def previews(records: DataFrame, config: PreviewConfig, form: str) -> DataFrame:
-    """index, elements, error of (index, bytes); error is the kind and message, or null."""
+def previews(records: DataFrame, config: PreviewConfig, form: str, done: Accumulator | None = None) -> DataFrame:
+    """index, elements, error of (index, bytes); error is the kind and message, or null. ``done`` counts the records."""
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -73,6 +74,8 @@ def previews(records: DataFrame, config: PreviewConfig, form: str) -> DataFrame:
                 except RecordError as e:
                     elements.append(None)
                     errors.append(f"{'xml' if isinstance(e, XmlError) else 'invalid'}:{e.args[0]}")
+            if done is not None:
+                done.add(len(batch))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(elements, _ELEMENTS), pa.array(errors, pa.string())], names=["index", "elements", "error"])
 
     return map_arrow(records.where("bytes is not null").select(F.col("index").cast("bigint"), "bytes"), build, f"index bigint, elements {ELEMENTS}, error string")

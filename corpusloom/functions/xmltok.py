@@ -24,10 +24,11 @@ _ATTRIBUTE = re.compile(rb"([^\s=]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)')")
 CHUNK = 1 << 20
 
 
-def tokens(read: Callable[[int], bytes], check_names: bool = True, limit: int | None = None) -> Iterator[Token]:
+def tokens(read: Callable[[int], bytes], check_names: bool = True, limit: int | None = None, inside: bool = False) -> Iterator[Token]:
     """Tokens of what ``read`` yields, in bounded memory: a chunk, and the token at hand.
 
-    Mismatched end tags are errors if ``check_names``; elements left open at the end are not. ``limit`` bounds a single token.
+    Mismatched end tags are errors if ``check_names``; elements left open at the end are not, nor are ends of elements that were begun
+    before where reading begins ``inside`` a document. ``limit`` bounds a single token.
     """
     data, at, base, ended = b"", 0, 0, False
     names: list[bytes] = []
@@ -64,6 +65,8 @@ def tokens(read: Callable[[int], bytes], check_names: bool = True, limit: int |
                     yield START, name, raw, base + at
             elif (name := m.group("end")) is not None:
                 if check_names:
+                    if not names and inside:
+                        continue
                     if not names or names[-1] != name:
                         raise XmlError(f"unexpected end tag {name.decode('utf-8', 'replace')} at byte {base + at}")
                     names.pop()
@@ -113,15 +116,15 @@ def attributes(start_tag: bytes) -> dict[bytes, bytes]:
     return {m.group(1): m.group(2) if m.group(2) is not None else m.group(3) for m in _ATTRIBUTE.finditer(start_tag)}
 
 
-def records(read: Callable[[int], bytes], element: str, max_bytes: int) -> Iterator[tuple[bytes, int]]:
-    """Each element of this name, outermost ones only, as its bytes, and the position after it.
+def records(read: Callable[[int], bytes], element: str, max_bytes: int, inside: bool = False) -> Iterator[tuple[bytes, int]]:
+    """Each element of this name, outermost ones only, as its bytes, and the position after it, counted from where reading begins.
 
     Empty elements are no records. A record of more than ``max_bytes``, or one cut off by the end, is an error.
     """
     wanted = element.encode()
     parts: list[bytes] = []
     depth = size = 0
-    for kind, name, raw, end in tokens(read, limit=max_bytes):
+    for kind, name, raw, end in tokens(read, limit=max_bytes, inside=inside):
         if depth == 0:
             if kind != START or name != wanted:
                 continue

@@ -2,23 +2,27 @@
 
 from __future__ import annotations
 
+import contextlib
 import os
 import re
+import threading
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 from py4j.protocol import Py4JJavaError
-from pyspark import StorageLevel
+from pyspark import Accumulator, StorageLevel
 from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..config import CHECKPOINT_INTERVAL, EVIDENCE_BYTES, EVIDENCE_RECORDS, PreviewConfig, TextConfig, XmlConfig, checkpoint_interval
+from ..config import CHECKPOINT_INTERVAL, EVIDENCE_BYTES, EVIDENCE_RECORDS, PROGRESS_STEP, PreviewConfig, TextConfig, XmlConfig, checkpoint_interval
 from ..errors import InvalidConfiguration, NotPrepared, raise_kind
 from ..functions import evidence, matching, preview
+from ..session import written
 from ..sources import folder, records
 
 MAX_INDEX = (1 << 63) - 1
+CHECKPOINTS = "index bigint, position bigint"
 
 
 @dataclass(frozen=True)
@@ -65,6 +69,31 @@ def _checked(run: Callable):  # noqa: ANN202
         raise
 
 
+@contextlib.contextmanager
+def _told_of(done: Accumulator | None, progress: Callable[[int], None] | None):  # noqa: ANN202
+    """While the block runs, tell what an accumulator has reached, in whole steps; a task that is run again counts again, so it is an estimate."""
+    if done is None or progress is None:
+        yield
+        return
+    over = threading.Event()
+
+    def watch() -> None:
+        told = 0
+        while not over.wait(0.2):
+            reached = done.value // PROGRESS_STEP * PROGRESS_STEP
+            if reached > told:
+                told = reached
+                progress(told)
+
+    watcher = threading.Thread(target=watch, daemon=True)
+    watcher.start()
+    try:
+        yield
+    finally:
+        over.set()
+        watcher.join()
+
+
 def _limited(df: DataFrame, limit: int | None) -> DataFrame:
     """In order of index; a limit of 0 gives one row, as the engine tests it after a row is taken."""
     ordered = df.orderBy("index")
@@ -78,10 +107,11 @@ class RecordEngine:
     index; single records are objects. Nothing is computed until it is asked for, apart from ``prep``.
     """
 
-    def __init__(self, source: DataFrame | Callable[[SparkSession], DataFrame], form: str = "xml", spark: SparkSession | None = None, initial_checkpoints: list[dict] | None = None) -> None:
+    def __init__(self, source: DataFrame | Callable[[SparkSession], DataFrame], form: str = "xml", spark: SparkSession | None = None, initial_checkpoints: DataFrame | None = None, file: tuple[str, XmlConfig] | None = None) -> None:
         self._source, self.form = source, form
         self._spark = spark or (source.sparkSession if isinstance(source, DataFrame) else SparkSession.getActiveSession())
-        self._checkpoints = list(initial_checkpoints or [])
+        self._checkpoints = initial_checkpoints if initial_checkpoints is not None else self._spark.createDataFrame([], CHECKPOINTS)
+        self._file = file  # a plain XML file, in which checkpoints can be sought
         self._interval, self._config = CHECKPOINT_INTERVAL, PreviewConfig()
         self._previews: DataFrame | None = None
         self._count = 0
@@ -97,8 +127,10 @@ class RecordEngine:
             config = XmlConfig(record_element, max_record_bytes) if max_record_bytes is not None else XmlConfig(record_element)
         else:
             config = TextConfig(target_record_bytes) if target_record_bytes is not None else TextConfig()
-        rows = records.numbered(records.scan(spark, path, form, config))
-        return cls(rows.select("index", "bytes", "position"), form, spark)
+        scanned = records.scan(spark, path, form, config)
+        rows = scanned.withColumn("index", F.col("local")) if records.is_single(path) else records.numbered(scanned)
+        plain = form == "xml" and records.is_single(path) and not path.lower().endswith(".bz2")
+        return cls(rows.select("index", "bytes", "position"), form, spark, file=(path, config) if plain else None)
 
     @classmethod
     def over_folder(cls, source: folder.FolderSource) -> RecordEngine:
@@ -135,8 +167,9 @@ class RecordEngine:
         self.set_preview_config(config)
         return self
 
-    def checkpoints(self) -> list[dict]:
-        return list(self._checkpoints)
+    def checkpoints(self) -> DataFrame:
+        """index (of the next record), position (byte in the file)."""
+        return self._checkpoints
 
     # records
 
@@ -149,9 +182,22 @@ class RecordEngine:
     def get(self, index: int) -> Record | None:
         if not 0 <= index <= MAX_INDEX:
             raise InvalidConfiguration(f"record index {index} is out of range")
-        row = _checked(lambda: self.records().where(F.col("index") == index).select("bytes").first())
+        rows = self._from_checkpoint(index)
+        if rows is None:
+            rows = self.records()
+        row = _checked(lambda: rows.where(F.col("index") == index).select("bytes").first())
         return None if row is None or row["bytes"] is None else Record(index, bytes(row["bytes"]))
 
+    def _from_checkpoint(self, index: int) -> DataFrame | None:
+        """Records from the last checkpoint up to ``index``, read by a seek, where there is one."""
+        if self._file is None:
+            return None
+        point = self._checkpoints.where((F.col("index") <= index) & F.col("position").isNotNull()).orderBy(F.desc("index")).first()
+        if point is None:
+            return None
+        rows = records.scan_at(self._spark, *self._file, point["position"], index - point["index"] + 1)
+        return rows.select((F.col("local") + point["index"]).alias("index"), "bytes")
+
     def list(self, start: int | None = None, end: int | None = None) -> DataFrame:
         """index, bytes of records from ``start`` up to but without ``end``; all without bounds."""
         out = self.records().select("index", "bytes")
@@ -179,23 +225,24 @@ class RecordEngine:
     def prep(self, progress: Callable[[int], None] | None = None) -> int:
         """Previews of all records, and a checkpoint after every interval; how many. An error leaves what was there before.
 
-        ``progress`` is told the number of records when they are done.
+        ``progress`` is told the number of records that are done, in steps of ``PROGRESS_STEP`` as tasks end, and in the end all of them.
         """
         rows = self.records()
-        new = preview.previews(rows, self._config, self.form).persist(StorageLevel.MEMORY_AND_DISK)
+        done = None if progress is None else self._spark.sparkContext.accumulator(0)
+        new = preview.previews(rows, self._config, self.form, done).persist(StorageLevel.MEMORY_AND_DISK)
         try:
-            total = _checked(new.count)
+            with _told_of(done, progress):
+                total = _checked(new.count)
             _raise_first(new)
         except BaseException:
             new.unpersist()
             raise
-        points: list[dict] = []
         if self.form == "xml" and "position" in rows.columns:
             at = rows.where((F.col("index") + 1) % self._interval == 0).select((F.col("index") + 1).alias("index"), "position")
-            points = [r.asDict() for r in at.orderBy("index").collect()]
+            self._checkpoints = _checked(lambda: written(at))
         if self._previews is not None:
             self._previews.unpersist()
-        self._previews, self._count, self._checkpoints = new, total, points or self._checkpoints
+        self._previews, self._count = new, total
         if progress is not None:
             progress(total)
         return total

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Iterator
 from http.server import BaseHTTPRequestHandler, HTTPServer
 from urllib.parse import parse_qsl, urlsplit
 
@@ -47,6 +48,16 @@ class Service:
         return self.engine.is_prepared
 
     def handle(self, method: str, url: str, body: bytes = b"") -> tuple[int, dict]:
+        """Status and body of the answer."""
+        status, answer = self._answer(method, url, body)
+        return status, {k: list(v) if isinstance(v, Iterator) else v for k, v in answer.items()}
+
+    def respond(self, method: str, url: str, body: bytes = b"") -> tuple[int, Iterator[bytes]]:
+        """The same with the body as JSON in pieces, so results without a limit pass through one at a time."""
+        status, answer = self._answer(method, url, body)
+        return status, _pieces(answer)
+
+    def _answer(self, method: str, url: str, body: bytes) -> tuple[int, dict]:
         parts = urlsplit(url)
         route = self._routes.get((method, parts.path))
         try:
@@ -99,16 +110,16 @@ class Service:
         asked = self._body(body, ("limit",))
         self._known(asked["corpus"])
         text = self._asked(asked["query"])
-        rows = self.engine.search_previews(text, asked.get("limit")).select("index", formatted("elements").alias("preview")).collect()
-        return {"corpus": self.corpus, "query": text, "results": [{"index": r["index"], "preview": r["preview"]} for r in rows]}
+        rows = self.engine.search_previews(text, asked.get("limit")).select("index", formatted("elements").alias("preview")).toLocalIterator()
+        return {"corpus": self.corpus, "query": text, "results": ({"index": r["index"], "preview": r["preview"]} for r in rows)}
 
     def _find_evidence(self, query: dict, body: bytes) -> dict:
         asked = self._body(body, ("record_limit", "max_bytes"))
         self._known(asked["corpus"])
         text = self._asked(asked["query"])
         limits = [asked[k] if asked.get(k) is not None else d for k, d in (("record_limit", EVIDENCE_RECORDS), ("max_bytes", EVIDENCE_BYTES))]
-        rows = self.engine.search_to_get_fragment(text, *limits).collect()
-        return {"corpus": self.corpus, "query": text, "results": [{"index": r["index"], "record": r["record"]} for r in rows]}
+        rows = self.engine.search_to_get_fragment(text, *limits).toLocalIterator()
+        return {"corpus": self.corpus, "query": text, "results": ({"index": r["index"], "record": r["record"]} for r in rows)}
 
     def _record(self, query: dict, body: bytes) -> dict:
         self._known(query.get("corpus"))
@@ -131,19 +142,34 @@ class Service:
         return {"corpus": self.corpus, "query": text, "index": index, "record": record}
 
 
+def _pieces(answer: dict) -> Iterator[bytes]:
+    """A JSON object of which one value may be an iterator of results."""
+    lead = "{"
+    for name, value in answer.items():
+        yield f"{lead}{json.dumps(name)}: ".encode()
+        lead = ", "
+        if isinstance(value, Iterator):
+            yield b"["
+            for k, result in enumerate(value):
+                yield (", " if k else "").encode() + json.dumps(result, ensure_ascii=False).encode()
+            yield b"]"
+        else:
+            yield json.dumps(value, ensure_ascii=False).encode()
+    yield b"}"
+
+
 def serve(service: Service, host: str = "127.0.0.1", port: int = 60005) -> HTTPServer:
     """A server that answers one request after another; call ``serve_forever`` on it."""
 
     class Handler(BaseHTTPRequestHandler):
         def _answer(self) -> None:
             body = self.rfile.read(int(self.headers.get("Content-Length") or 0))
-            status, value = service.handle(self.command, self.path, body)
-            data = json.dumps(value, ensure_ascii=False).encode()
+            status, pieces = service.respond(self.command, self.path, body)
             self.send_response(status)
             self.send_header("Content-Type", "application/json")
-            self.send_header("Content-Length", str(len(data)))
-            self.end_headers()
-            self.wfile.write(data)
+            self.end_headers()  # the body ends with the connection
+            for piece in pieces:
+                self.wfile.write(piece)
 
         do_GET = do_POST = do_PUT = do_DELETE = _answer
 

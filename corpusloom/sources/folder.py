@@ -15,7 +15,7 @@ from ..config import CHECKPOINT_INTERVAL, TextConfig, checkpoint_interval
 from ..errors import InvalidConfiguration, IoError
 from . import records
 
-VERSION = 1
+VERSION = 2
 #: Bytes that follow each record in the flat form.
 SEPARATOR = b"\n\n"
 #: Checkpoints that are ordered together.
@@ -50,7 +50,10 @@ def checkpoints(rows: DataFrame, interval: int) -> DataFrame:
 
 
 class FolderSource:
-    """Records of all text files of a folder, numbered across them; kept beside it and used again while the sidecar fits."""
+    """Records of all text files of a folder, numbered across them; kept beside it and used again while the sidecar fits.
+
+    Beside the folder stand three tables, of the records, of the ranges of files and of the checkpoints, and the sidecar, which says how they were made.
+    """
 
     form = "txt"
 
@@ -65,6 +68,14 @@ class FolderSource:
     def dataset_path(self) -> str:
         return f"{self.folder}.records.parquet"
 
+    @property
+    def ranges_path(self) -> str:
+        return f"{self.folder}.ranges.parquet"
+
+    @property
+    def checkpoints_path(self) -> str:
+        return f"{self.folder}.checkpoints.parquet"
+
     @property
     def sidecar_path(self) -> str:
         return f"{self.folder}.sidecar.json"
@@ -78,14 +89,12 @@ class FolderSource:
             rows = records.numbered(kept).select("index", "filename", "bytes")
         else:
             rows = self.spark.createDataFrame([], schema)
-        new = f"{self.dataset_path}.new"
-        rows.repartitionByRange("index").sortWithinPartitions("index").write.mode("overwrite").parquet(new)
-        shutil.rmtree(self.dataset_path, ignore_errors=True)
-        os.replace(new, self.dataset_path)
-        written = self.spark.read.parquet(self.dataset_path)
-        self.ranges = [r.asDict() for r in file_ranges(written).orderBy("start").collect()]  # a row per file
-        self.initial_checkpoints = [r.asDict() for r in checkpoints(written, self.interval).orderBy("index").collect()]
-        body = {"version": VERSION, "target_record_bytes": self.config.target_record_bytes, "checkpoint_interval": self.interval, "ranges": self.ranges, "checkpoints": self.initial_checkpoints}
+        Path(self.sidecar_path).unlink(missing_ok=True)  # without it the tables count for nothing, should this be cut off
+        rows.repartitionByRange("index").sortWithinPartitions("index").write.mode("overwrite").parquet(self.dataset_path)
+        written = self.records()
+        file_ranges(written).write.mode("overwrite").parquet(self.ranges_path)
+        checkpoints(written, self.interval).write.mode("overwrite").parquet(self.checkpoints_path)
+        body = {"version": VERSION, "target_record_bytes": self.config.target_record_bytes, "checkpoint_interval": self.interval}
         partial = f"{self.sidecar_path}.tmp"
         Path(partial).write_text(json.dumps(body, indent=2) + "\n")
         os.replace(partial, self.sidecar_path)
@@ -94,7 +103,6 @@ class FolderSource:
         try:
             body = json.loads(Path(self.sidecar_path).read_text())
             found = (body["version"], body["target_record_bytes"], body["checkpoint_interval"])
-            self.ranges, self.initial_checkpoints = body["ranges"], body["checkpoints"]
         except OSError as e:
             raise IoError(str(e)) from e
         except (ValueError, KeyError, TypeError) as e:
@@ -109,11 +117,13 @@ class FolderSource:
     def records_from(self, index: int) -> DataFrame:
         return self.records().where(F.col("index") >= index)
 
-    def file_ranges(self) -> list[dict]:
-        return self.ranges
+    def file_ranges(self) -> DataFrame:
+        """start, end (inclusive), filename of each file with records."""
+        return self.spark.read.parquet(self.ranges_path)
 
-    def checkpoints(self) -> list[dict]:
-        return self.initial_checkpoints
+    def checkpoints(self) -> DataFrame:
+        """index (of the next record), position (byte in the flat form)."""
+        return self.spark.read.parquet(self.checkpoints_path)
 
 
 def _glob(folder: str) -> str:

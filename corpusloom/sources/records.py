@@ -7,6 +7,7 @@ import contextlib
 import glob
 import hashlib
 import io
+import itertools
 import json
 import os
 import uuid
@@ -21,7 +22,7 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition,
 from ..config import MAX_RECORD_BYTES, TARGET_RECORD_BYTES, TextConfig, XmlConfig
 from ..errors import InvalidConfiguration, IoError, RecordError, XmlError
 from ..functions import textsplit, xmltok
-from ..session import checkpoint, map_arrow, tune
+from ..session import checkpoint, map_arrow, tune, written
 
 SCHEMA = "filename string, part int, local bigint, bytes binary, position bigint"
 _ARROW = pa.schema([("filename", pa.string()), ("part", pa.int32()), ("local", pa.int64()), ("bytes", pa.binary()), ("position", pa.int64())])
@@ -73,6 +74,9 @@ class _Options:
         self.target = int(options.get("targetRecordBytes", options.get("targetrecordbytes", TARGET_RECORD_BYTES)))
         #: Bytes from which on a plain XML file is cut into parts; only right where no record element stands in another, in a comment or in CDATA.
         self.split_bytes = int(options.get("splitBytes", options.get("splitbytes", 0)))
+        #: Where to begin in a single plain XML file, at the end of a record, and how many records to read from there.
+        self.start = int(options.get("startPosition", options.get("startposition", 0)))
+        self.most = int(options.get("maxRecords", options.get("maxrecords", 0)))
 
     def files(self) -> list[str]:
         paths = [self.path] if os.path.isfile(self.path) else sorted(p for p in glob.glob(os.path.join(self.path, "*") if os.path.isdir(self.path) else self.path) if os.path.isfile(p))
@@ -86,7 +90,10 @@ def _part_records(part: FilePart, o: _Options, form: str) -> Iterator[tuple[byte
         if form == "txt":
             yield from text_records(file, o.target)
         elif part.stop is None:
-            yield from xmltok.records(file.read, o.element, o.max_bytes)
+            if part.start:
+                file.seek(part.start)
+            for data, end in xmltok.records(file.read, o.element, o.max_bytes, inside=part.start > 0):
+                yield data, part.start + end
         else:
             yield from _records_from(file, part.start, part.stop, o)
 
@@ -145,7 +152,7 @@ class RecordReader(DataSourceReader):
             if self.form == "xml" and step > 0 and size > step and not path.lower().endswith(".bz2"):
                 out += [FilePart(path, k, a, min(a + step, size)) for k, a in enumerate(range(0, size, step))]
             else:
-                out.append(FilePart(path, 0, 0, None))
+                out.append(FilePart(path, 0, self.o.start, None))
         return out
 
     def read(self, partition: FilePart) -> Iterator[pa.RecordBatch]:
@@ -157,7 +164,8 @@ def _read(partition: FilePart, o: _Options, form: str) -> Iterator[pa.RecordBatc
     rows: list[tuple] = []
     held = 0
     try:
-        for local, (data, position) in enumerate(_part_records(partition, o, form)):
+        found = _part_records(partition, o, form)
+        for local, (data, position) in enumerate(itertools.islice(found, o.most) if o.most else found):
             rows.append((name, partition.part, local, data, position))
             held += len(data)
             if held > _BATCH_BYTES:
@@ -324,6 +332,26 @@ def scan(spark: SparkSession, path: str, form: str | None = None, config: XmlCon
     return reader.option("splitBytes", split_bytes).load(path)
 
 
+def scan_at(spark: SparkSession, path: str, config: XmlConfig, position: int, most: int) -> DataFrame:
+    """local, bytes, position of at most ``most`` records of a plain XML file from a place where one ends, by a seek in one task."""
+    register(spark)
+    reader = spark.read.format("xmlrecords").option("recordElement", config.record_element).option("maxRecordBytes", config.max_record_bytes)
+    return reader.option("startPosition", position).option("maxRecords", most).load(path).select("local", "bytes", "position")
+
+
+def is_single(path: str, split_bytes: int = 0) -> bool:
+    """Whether a scan of the path is of one file read as a whole, whose records come numbered."""
+    return os.path.isfile(path) and split_bytes == 0
+
+
+def kept(rows: DataFrame, order: str) -> DataFrame:
+    """The rows with ``index`` by a unique sortable column, as a Parquet table in the shared folder whose files are ranges of the index.
+
+    It is ordered once; a filter on ``index`` then reads the row groups it needs. The table lasts as long as the application.
+    """
+    return written(numbered_by(rows, order))
+
+
 def numbered(rows: DataFrame, order: tuple[str, ...] = ("filename", "part"), local: str = "local", first: int = 0) -> DataFrame:
     """With ``index``: contiguous over all files in order of their names, from numbers that are contiguous within each.
 
@@ -346,7 +374,7 @@ def numbered_by(df: DataFrame, order: str, first: int = 0) -> DataFrame:
 
 
 def _partitions(df: DataFrame) -> int:
-    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), df._jdf.queryExecution().toRdd().getNumPartitions())
+    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), df.rdd.getNumPartitions())
 
 
 def scan_column(df: DataFrame, key: str, data: str, config: XmlConfig | TextConfig) -> DataFrame:

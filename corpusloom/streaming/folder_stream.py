@@ -39,22 +39,18 @@ def append_numbered(streamed: DataFrame, table: str, checkpoint: str, then: Call
     """Append the stream to a Parquet table with ``index`` going on from what is there.
 
     Each micro-batch writes a folder of its own, named by its number, so one that is run again after a failure
-    takes the place of its first run and the numbers stay.
+    takes the place of its first run and the numbers stay. Where the next batch begins stands in a table of one row beside it
+    (``table.next``), so no batch reads what earlier ones wrote.
     """
 
     def write(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        first = 0
-        if number > 0:
-            try:
-                before = spark.read.parquet(table).where(F.col("batch") < number)
-                first = before.agg(F.coalesce(F.max("index") + 1, F.lit(0))).first()[0]
-            except Exception as e:  # the table begins with the first batch that has records
-                if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER_SCHEMA" not in str(e):
-                    raise
-        rows = records.numbered(batch, first=first)
-        rows.select("index", "filename", "bytes").write.mode("overwrite").parquet(f"{table}/batch={number}")
+        first = spark.read.parquet(f"{table}.next/batch={number - 1}").first()["next"] if number > 0 else 0
+        rows = records.numbered(batch, first=first).select("index", "filename", "bytes")
+        rows.write.mode("overwrite").parquet(f"{table}/batch={number}")
+        own = spark.read.schema(rows.schema).parquet(f"{table}/batch={number}")
+        own.agg(F.coalesce(F.max("index") + 1, F.lit(first)).alias("next")).write.mode("overwrite").parquet(f"{table}.next/batch={number}")
         if then is not None:
-            then(rows)
+            then(own)
 
     return streamed.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).start()

@@ -46,7 +46,7 @@ def test_xml_engine(spark, xml_path):
         engine.search_previews("x")
     assert not engine.is_prepared and engine.preview_at(0) is None
     assert engine.with_checkpoint_interval(2).prep() == 3 == engine.prepared_preview_count
-    assert [c["index"] for c in engine.checkpoints()] == [2]
+    assert [c["index"] for c in engine.checkpoints().collect()] == [2]
     assert indexes(engine.find("id")) == [] and indexes(engine.find("id", mode="records")) == [0]
     assert engine.preview_at(1) == [("author", "Codd"), ("title", "Second  Two")]
     assert indexes(engine.search_preview_indexes("ADA")) == [0, 2]
@@ -57,7 +57,39 @@ def test_xml_engine(spark, xml_path):
     assert engine.previews().select(preview.retained_bytes(F.col("elements"))).first()[0] == len("authorAdatitleFirst Oneyear1970")
     assert [r["value"]["title"] for r in engine.decode("title string").orderBy("index").collect()][1] == "Second & Two"
     engine.clear_previews()
-    assert not engine.is_prepared and engine.prepared_preview_count == 0 and engine.checkpoints()
+    assert not engine.is_prepared and engine.prepared_preview_count == 0 and engine.checkpoints().count() == 1
+
+
+def test_records_are_sought_by_checkpoint(spark, tmp_path, monkeypatch):
+    path = tmp_path / "pages.xml"
+    path.write_bytes(b"<d>" + b"".join(b"<page>%d</page> <page/>\n" % k for k in range(25)) + b"</d>")
+    engine = RecordEngine.open(spark, str(path)).with_checkpoint_interval(10)
+    assert engine.get(24).text == "<page>24</page>"  # by a scan
+    assert engine.prep() == 25 and [c["index"] for c in engine.checkpoints().orderBy("index").collect()] == [10, 20]
+    monkeypatch.setattr(engine, "_source", None)  # what follows may only seek
+    assert [engine.get(k).text for k in (10, 19, 20, 24)] == [f"<page>{k}</page>" for k in (10, 19, 20, 24)]
+    assert engine.get(25) is None and engine.get(1000) is None
+    cut = RecordEngine.open(spark, str(path)).with_checkpoint_interval(2)
+    cut.prep()
+    path.write_bytes(path.read_bytes().partition(b"24</page>")[0])
+    with pytest.raises(InvalidConfiguration, match="inside record"):
+        cut.get(24)
+
+
+def test_progress_is_told(spark):
+    rows = spark.range(0, 60_000, 1, 6).select(F.col("id").alias("index"), F.lit(b"x").alias("bytes"))
+    told = []
+    engine = RecordEngine(rows, "txt", spark)
+    assert engine.prep(told.append) == 60_000 == told[-1]
+    assert told == sorted(told) and all(n % 10_000 == 0 for n in told)
+
+
+def test_kept_tables_are_read_by_range(spark):
+    df = spark.createDataFrame([(k * 3, f"t{k}") for k in range(2000)], "k int, t string")
+    own = records.kept(df, "k")
+    assert [tuple(r) for r in own.where("index = 77").collect()] == [(231, "t77", 77)] and own.count() == 2000
+    plan = own.where("index = 77")._jdf.queryExecution().executedPlan().toString()
+    assert "EqualTo(index,77)" in plan and "Exchange" not in plan
 
 
 def test_default_preview_stops_at_title(spark, xml_path):
@@ -105,15 +137,17 @@ def test_folder_source(spark, tmp_path):
     (where / "c.xml").write_text("<page/>")
     (where / "below" / "d.txt").write_text("five\n")
     source = folder.FolderSource(spark, str(where), interval=2)
-    assert source.file_ranges() == [{"start": 0, "end": 1, "filename": "a.txt"}, {"start": 2, "end": 3, "filename": "b.TXT"}]
-    assert source.checkpoints() == [{"index": 2, "position": len("one fox\n\n\ntwo\n\n\n")}, {"index": 4, "position": len("one fox\n\n\ntwo\n\n\nthree\n\n\nfour\n\n\n")}]
+    ranges = lambda s: [tuple(r) for r in s.file_ranges().orderBy("start").collect()]
+    assert ranges(source) == [(0, 1, "a.txt"), (2, 3, "b.TXT")]
+    points = [(2, len("one fox\n\n\ntwo\n\n\n")), (4, len("one fox\n\n\ntwo\n\n\nthree\n\n\nfour\n\n\n"))]
+    assert [tuple(r) for r in source.checkpoints().orderBy("index").collect()] == points
     engine = RecordEngine.over_folder(source)
-    assert engine.get(2).text == "three\n" and engine.checkpoints() == source.checkpoints()
+    assert engine.get(2).text == "three\n" and [tuple(r) for r in engine.checkpoints().orderBy("index").collect()] == points
     engine.prep()
     assert engine.preview_at(0) == [("text", "one fox\n")] and engine.get_fragment(0, "fox", 3) == "fox"
     (where / "a.txt").write_text("changed\n")
-    assert folder.FolderSource(spark, str(where), interval=2).file_ranges() == source.file_ranges()  # kept as it was
-    assert folder.FolderSource(spark, str(where), interval=2, refresh=True).file_ranges()[0]["end"] == 0
+    assert ranges(folder.FolderSource(spark, str(where), interval=2)) == [(0, 1, "a.txt"), (2, 3, "b.TXT")]  # kept as it was
+    assert ranges(folder.FolderSource(spark, str(where), interval=2, refresh=True))[0] == (0, 0, "a.txt")
     with pytest.raises(InvalidConfiguration, match="checkpoint_interval"):
         folder.FolderSource(spark, str(where), interval=3)
     with pytest.raises(InvalidConfiguration, match="target_record_bytes"):
@@ -126,7 +160,7 @@ def test_folder_source(spark, tmp_path):
     folder.write_flat(again.records(), str(tmp_path / "notes.flat"))
     assert (tmp_path / "notes.flat").read_text() == "changed\n\n\nthree\n\n\nfour\n\n\n"
     assert indexes(again.records_from(1).orderBy("index")) == [1, 2]
-    assert json.loads((tmp_path / "notes.sidecar.json").read_text())["version"] == 1
+    assert json.loads((tmp_path / "notes.sidecar.json").read_text())["version"] == folder.VERSION
 
 
 def test_closure_source_and_numbering(spark):
@@ -163,6 +197,9 @@ def test_service(spark, xml_path):
     threading.Thread(target=server.serve_forever, daemon=True).start()
     with urllib.request.urlopen(f"http://127.0.0.1:{server.server_port}/local_data/corpus") as r:
         assert json.load(r) == {"corpus": "books"}
+    asked = urllib.request.Request(f"http://127.0.0.1:{server.server_port}/local_data/search", b'{"corpus": "books", "query": "ada"}')
+    with urllib.request.urlopen(asked) as r:
+        assert json.load(r) == {"corpus": "books", "query": "ada", "results": [{"index": 0, "preview": "<author>: Ada\n<title>: First One\n<year>: 1970"}, {"index": 2, "preview": "<author>: Ada\n<title>: First Again\n<x>: hidden"}]}
     server.shutdown()
 
 
