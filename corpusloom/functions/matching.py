@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
-from pyspark.sql import Column
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import map_arrow
 from .textsplit import trim
 
 JAVA_WORD_CHARACTER = r"[\p{IsAlphabetic}\p{Nd}\p{Nl}\p{No}_]"
@@ -56,6 +59,19 @@ def word_ranges(text: str) -> list[tuple[int, int, str]]:
     return [(m.start(), m.end(), _fold(m.group())) for m in _WORD.finditer(text)]
 
 
+def word_ranges_of(texts: DataFrame, key: str, text: str) -> DataFrame:
+    """key, words (array of start, end, word) of each text; null texts give no rows."""
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("word", pa.string())]))
+        for batch in batches:
+            found = [[{"start": a, "end": z, "word": w} for a, z, w in word_ranges(t)] for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, kind)], names=[key, "words"])
+
+    chosen = texts.select(key, text).where(F.col(text).isNotNull())
+    return map_arrow(chosen, find, f"{key} {texts.schema[key].dataType.simpleString()}, words array<struct<start int, `end` int, word string>>")
+
+
 def first_match(text: str, query: str) -> tuple[int, int] | None:
     """Where the query's words first stand one after another in the text, whatever is between."""
     wanted = [w for _, _, w in word_ranges(query)]

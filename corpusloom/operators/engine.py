@@ -12,7 +12,7 @@ from dataclasses import dataclass
 from py4j.protocol import Py4JJavaError
 from pyspark import Accumulator, StorageLevel
 from pyspark.errors import PySparkException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import CHECKPOINT_INTERVAL, EVIDENCE_BYTES, EVIDENCE_RECORDS, PROGRESS_STEP, PreviewConfig, TextConfig, XmlConfig, checkpoint_interval
@@ -38,6 +38,11 @@ class Record:
         return self.bytes.decode("utf-8", "replace")
 
 
+def record_bytes(data: str) -> Column:
+    """The length of a record."""
+    return F.octet_length(data).cast("bigint")
+
+
 def _raise_first(df: DataFrame) -> DataFrame:
     """Raise the error of the record with the least index, where there is one."""
     bad = df.where("error is not null").orderBy("index").select("error").first()
@@ -138,6 +143,14 @@ class RecordEngine:
         engine._interval = source.interval
         return engine
 
+    @classmethod
+    def over_previews(cls, previews: DataFrame) -> RecordEngine:
+        """An engine that is prepared with given previews (index, elements) and has no records."""
+        spark = previews.sparkSession
+        engine = cls(spark.createDataFrame([], "index bigint, bytes binary"), "xml", spark)
+        engine._previews = previews.select("index", "elements", F.lit(None).cast("string").alias("error"))
+        return engine
+
     # configuration
 
     @property
