@@ -81,6 +81,6 @@ SQL = {
     "p8_draws": _DRAWS,
     "p8_shards": f"select blocks, count(*) as shards from (select (n * (k + 1)) // 16 - (n * k) // 16 as blocks from (select sum(blocks)::bigint as n from ({_DRAWS})), (select unnest(range(0, 16)) as k)) group by blocks",
     "p8_checks": f"""
-select source, planned_tokens // tokens as full_passes, (planned_tokens // tokens) * n as full_uses, 0 as repeated, true as enough, true as tight
+select source, planned_tokens // tokens as full_passes, (planned_tokens // tokens) * n as full_uses, 0::bigint as repeated, true as enough, true as tight
 from ({_TARGETS}) join (select source, count(*) as n from documents where text is not null and doc_id is not null group by source) using (source) where planned_tokens > 0""",
 }
