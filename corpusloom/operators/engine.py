@@ -132,7 +132,7 @@ class RecordEngine:
             config = XmlConfig(record_element, max_record_bytes) if max_record_bytes is not None else XmlConfig(record_element)
         else:
             config = TextConfig(target_record_bytes) if target_record_bytes is not None else TextConfig()
-        scanned = records.scan(spark, path, form, config)
+        scanned = _checked(lambda: records.scan(spark, path, form, config))
         rows = scanned.withColumn("index", F.col("local")) if records.is_single(path) else records.numbered(scanned)
         plain = form == "xml" and records.is_single(path) and not path.lower().endswith(".bz2")
         return cls(rows.select("index", "bytes", "position"), form, spark, file=(path, config) if plain else None)

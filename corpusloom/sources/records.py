@@ -10,6 +10,7 @@ import io
 import itertools
 import json
 import os
+import re
 import uuid
 from collections import Counter
 from collections.abc import Iterator
@@ -27,6 +28,8 @@ from ..session import checkpoint, map_arrow, tune, written
 SCHEMA = "filename string, part int, local bigint, bytes binary, position bigint"
 _ARROW = pa.schema([("filename", pa.string()), ("part", pa.int32()), ("local", pa.int64()), ("bytes", pa.binary()), ("position", pa.int64())])
 _BATCH_BYTES = 4 << 20
+#: Bytes of a plain file that one task reads.
+SPLIT_BYTES = 64 << 20
 
 
 def form_of(path: str, form: str | None = None) -> str:
@@ -46,19 +49,30 @@ def open_bytes(path: str):  # noqa: ANN201
         raise IoError(str(e)) from e
 
 
-def text_records(file: io.BufferedIOBase, target: int) -> Iterator[tuple[bytes, None]]:
-    """Chunks of the paragraphs of a UTF-8 text, read a line at a time."""
+def text_records(file: io.BufferedIOBase, target: int, start: int = 0, stop: int | None = None) -> Iterator[tuple[bytes, None]]:
+    """Chunks of the paragraphs of a UTF-8 text, read a line at a time; of those alone before which the last blank line begins between two places."""
+    for paragraph in textsplit.paragraphs(_lines(file, start, stop)):
+        for chunk in textsplit.chunks(paragraph, target):
+            yield chunk.encode(), None
 
-    def lines() -> Iterator[str]:
-        while raw := file.readline():
+
+def _lines(file: io.BufferedIOBase, start: int, stop: int | None) -> Iterator[str]:
+    """Lines of the paragraphs that belong to a part; the first of the file belongs to the first part."""
+    if start:
+        file.seek(start - 1)
+        start += len(file.readline()) - 1
+    at, own = start, start == 0
+    while raw := file.readline():
+        blank = not textsplit.trim(raw.decode("utf-8", "replace"))
+        if stop is not None and at >= stop and (blank or not own):
+            return
+        if blank or own:
+            own = True
             try:
                 yield raw.decode("utf-8")
             except UnicodeDecodeError as e:
                 raise IoError("stream did not contain valid UTF-8") from e
-
-    for paragraph in textsplit.paragraphs(lines()):
-        for chunk in textsplit.chunks(paragraph, target):
-            yield chunk.encode(), None
+        at += len(raw)
 
 
 class FilePart(InputPartition):
@@ -72,8 +86,8 @@ class _Options:
         self.element = options.get("recordElement", options.get("recordelement", "page"))
         self.max_bytes = int(options.get("maxRecordBytes", options.get("maxrecordbytes", MAX_RECORD_BYTES)))
         self.target = int(options.get("targetRecordBytes", options.get("targetrecordbytes", TARGET_RECORD_BYTES)))
-        #: Bytes from which on a plain XML file is cut into parts; only right where no record element stands in another, in a comment or in CDATA.
-        self.split_bytes = int(options.get("splitBytes", options.get("splitbytes", 0)))
+        #: Bytes from which on a plain file is cut into parts. Text may always be; XML only where no record element stands in another, in a comment or in CDATA (see ``can_split``).
+        self.split_bytes = int(options.get("splitBytes", options.get("splitbytes", -1)))
         #: Where to begin in a single plain XML file, at the end of a record, and how many records to read from there.
         self.start = int(options.get("startPosition", options.get("startposition", 0)))
         self.most = int(options.get("maxRecords", options.get("maxrecords", 0)))
@@ -88,7 +102,7 @@ class _Options:
 def _part_records(part: FilePart, o: _Options, form: str) -> Iterator[tuple[bytes, int | None]]:
     with open_bytes(part.path) as file:
         if form == "txt":
-            yield from text_records(file, o.target)
+            yield from text_records(file, o.target, part.start, part.stop)
         elif part.stop is None:
             if part.start:
                 file.seek(part.start)
@@ -98,45 +112,39 @@ def _part_records(part: FilePart, o: _Options, form: str) -> Iterator[tuple[byte
             yield from _records_from(file, part.start, part.stop, o)
 
 
+def _start_tag(element: bytes) -> str:
+    """A start tag, with the slash of an empty element as its group."""
+    return r"<" + re.escape(element.decode()) + r"(?:\s(?:[^<>\"']|\"[^\"]*\"|'[^']*')*?)?(/?)>"
+
+
 def _records_from(file: io.BufferedIOBase, start: int, stop: int, o: _Options) -> Iterator[tuple[bytes, int]]:
-    """Records whose start tag begins at ``start`` or later and before ``stop``."""
-    tag = b"<" + o.element.encode()
-    at = start
+    """Records whose start tag begins at ``start`` or later and before ``stop``, where parts may be read by themselves."""
+    tag = re.compile(_start_tag(o.element.encode()).encode())
     file.seek(start)
-    while at < stop:
-        data, base = file.read(1 << 16), at
-        if not data:
-            return
-        k = -1
-        while True:
-            k = data.find(tag, k + 1)
-            if k < 0:
-                break
-            if k + len(tag) >= len(data):
-                data += file.read(1 << 16)
-            if data[k + len(tag) : k + len(tag) + 1] in (b">", b" ", b"\t", b"\n", b"\r", b"/"):
-                break
-        if k < 0:
-            at = base + max(1, len(data) - len(tag))
-            file.seek(at)
-            continue
-        at = base + k
-        if at >= stop:
-            return
-        file.seek(at)
-        for record, end in xmltok.records(_until_closed(file), o.element, o.max_bytes):
-            if at >= stop:
+    data, base, at = file.read(1 << 16), start, 0
+    while base + at < stop:
+        m = tag.search(data, at)
+        if m is None:
+            more = file.read(1 << 20)
+            if not more:
                 return
-            yield record, at + end
-            at += end
-            break
-        else:
+            # what may be the beginning of a tag is looked at again with what follows
+            keep = data.rfind(b"<", at)
+            keep = len(data) if keep < 0 else keep
+            data, base, at = data[keep:] + more, base + keep, 0
+            continue
+        if base + m.start() >= stop:
             return
-        file.seek(at)
-
-
-def _until_closed(file: io.BufferedIOBase):  # noqa: ANN202
-    return lambda n: file.read(min(n, 1 << 16))
+        if m.group(1):
+            at = m.end()
+            continue
+        first = base + m.start()
+        file.seek(first)
+        record, length = next(xmltok.records(lambda n: file.read(min(n, 1 << 16)), o.element, o.max_bytes))
+        yield record, first + length
+        base, at = first + length, 0
+        file.seek(base)
+        data = file.read(1 << 16)
 
 
 class RecordReader(DataSourceReader):
@@ -146,10 +154,14 @@ class RecordReader(DataSourceReader):
 
     def partitions(self) -> list[FilePart]:
         out = []
-        for path in self.o.files():
+        try:
+            files = self.o.files()
+        except RecordError as e:
+            raise RuntimeError(f"record-error|io|{e.args[0]}|end") from e
+        for path in files:
             size = os.path.getsize(path)
-            step = self.o.split_bytes
-            if self.form == "xml" and step > 0 and size > step and not path.lower().endswith(".bz2"):
+            step = self.o.split_bytes if self.o.split_bytes >= 0 else SPLIT_BYTES if self.form == "txt" else 0
+            if step > 0 and size > step and not self.o.start and not self.o.most and not path.lower().endswith(".bz2"):
                 out += [FilePart(path, k, a, min(a + step, size)) for k, a in enumerate(range(0, size, step))]
             else:
                 out.append(FilePart(path, 0, self.o.start, None))
@@ -320,8 +332,67 @@ def register(spark: SparkSession) -> None:
     spark.dataSource.register(TextRecords)
 
 
-def scan(spark: SparkSession, path: str, form: str | None = None, config: XmlConfig | TextConfig | None = None, split_bytes: int = 0) -> DataFrame:
-    """filename, part, local, bytes, position of all records of a file, a folder or a glob."""
+def can_split(spark: SparkSession, path: str, element: str, step: int = SPLIT_BYTES) -> bool:
+    """Whether parts of plain XML files may be read by themselves: no record element stands in another, in a comment or in CDATA.
+
+    Every part is searched for the tags alone, by a task each; start and end tags must take turns within the parts and from one to the next.
+    """
+    register(spark)
+    parts = [(p, k, a, min(a + step, size)) for p in _Options({"path": path}).files() if not p.lower().endswith(".bz2") and (size := os.path.getsize(p)) > step for k, a in enumerate(range(0, size, step))]
+
+    def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [_turns(p, element.encode(), a, z) for p, _, a, z in zip(*(c.to_pylist() for c in batch.columns), strict=True)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(found, pa.string())], names=["path", "part", "turns"])
+
+    rows = spark.createDataFrame(parts, "path string, part int, a bigint, z bigint").repartition(max(1, len(parts)), "path", "part")
+    told = map_arrow(rows, look, "path string, part int, turns string").orderBy("path", "part").collect() if parts else []  # two letters for each part
+    for _, own in itertools.groupby(told, lambda r: r["path"]):
+        turns = [r["turns"] for r in own]
+        if None in turns:
+            return False
+        joined = "".join(turns)
+        if joined != "se" * (len(joined) // 2):
+            return False
+    return True
+
+
+def _turns(path: str, element: bytes, start: int, stop: int) -> str | None:
+    """The tags of record elements that begin in a part: s or e for an odd number that take turns, the first and the last for an even one.
+
+    None where they don't take turns, or a comment or the like hides one.
+    """
+    name = re.escape(element)
+    tag = re.compile(rb"(<!--|<!\[CDATA\[|<\?|<!)|(</)" + name + rb"\s*>|<" + name + rb"(?:\s(?:[^<>\"']|\"[^\"]*\"|'[^']*')*?)?(/?)>")
+    ends = {b"<!--": b"-->", b"<![CDATA[": b"]]>", b"<?": b"?>", b"<!": b">"}
+    opening = re.compile(rb"</?" + name + rb"[\s/>]")
+    kinds: list[str] = []
+    with open(path, "rb") as file:
+        file.seek(start)
+        data, at = file.read(stop - start + (1 << 16)), 0
+        while (m := tag.search(data, at)) is not None and m.start() < stop - start:
+            at = m.end()
+            if m.group(1):
+                end = data.find(ends[m.group(1)], at)
+                while end < 0 and (more := file.read(1 << 24)):
+                    data += more
+                    end = data.find(ends[m.group(1)], at)
+                if end < 0 or opening.search(data, at, end):
+                    return None
+                at = end
+            elif not m.group(3):
+                kind = "e" if m.group(2) else "s"
+                if kinds[-1:] == [kind]:
+                    return None
+                kinds = [*kinds[:1], kind]
+    return "" if not kinds else kinds[0] if kinds[0] == kinds[-1] else "".join(kinds)
+
+
+def scan(spark: SparkSession, path: str, form: str | None = None, config: XmlConfig | TextConfig | None = None, split_bytes: int | None = None) -> DataFrame:
+    """filename, part, local, bytes, position of all records of a file, a folder or a glob.
+
+    Plain files larger than ``split_bytes`` (by default ``SPLIT_BYTES``; 0 for never) are read in parts where that is right.
+    """
     register(spark)
     form = form_of(path, form)
     reader = spark.read.format("xmlrecords" if form == "xml" else "textrecords")
@@ -329,7 +400,10 @@ def scan(spark: SparkSession, path: str, form: str | None = None, config: XmlCon
         reader = reader.option("recordElement", config.record_element).option("maxRecordBytes", config.max_record_bytes)
     elif isinstance(config, TextConfig):
         reader = reader.option("targetRecordBytes", config.target_record_bytes)
-    return reader.option("splitBytes", split_bytes).load(path)
+    step = SPLIT_BYTES if split_bytes is None else split_bytes
+    if form == "xml" and step and not can_split(spark, path, config.record_element if isinstance(config, XmlConfig) else "page", step):
+        step = 0
+    return reader.option("splitBytes", step).load(path)
 
 
 def scan_at(spark: SparkSession, path: str, config: XmlConfig, position: int, most: int) -> DataFrame:
@@ -339,9 +413,9 @@ def scan_at(spark: SparkSession, path: str, config: XmlConfig, position: int, mo
     return reader.option("startPosition", position).option("maxRecords", most).load(path).select("local", "bytes", "position")
 
 
-def is_single(path: str, split_bytes: int = 0) -> bool:
+def is_single(path: str) -> bool:
     """Whether a scan of the path is of one file read as a whole, whose records come numbered."""
-    return os.path.isfile(path) and split_bytes == 0
+    return os.path.isfile(path) and (path.lower().endswith(".bz2") or os.path.getsize(path) <= SPLIT_BYTES)
 
 
 def kept(rows: DataFrame, order: str) -> DataFrame:

@@ -1,6 +1,8 @@
 import bz2
+import io
 import json
 import os
+import random
 import threading
 import urllib.request
 
@@ -128,6 +130,35 @@ def test_compressed_and_split_files(spark, tmp_path):
         folder.save_decompressed(str(tmp_path / "a.xml.bz2"))
 
 
+def test_parts_of_files(spark, tmp_path):
+    rng = random.Random(5)
+    for n in range(300):  # paragraphs of a text belong to one part each, wherever it is cut
+        text = "".join(rng.choice(["a", "b c", "\n", "\n", "\n \n", "\r\n", "\u00e9", "\u3000"]) for _ in range(rng.randrange(60)))
+        data = text.encode()
+        whole = [b for b, _ in records.text_records(io.BytesIO(data), 5)]
+        step = rng.randrange(1, 20)
+        parts = [b for a in range(0, max(1, len(data)), step) for b, _ in records.text_records(io.BytesIO(data), 5, a, a + step)]
+        assert parts == whole, (n, text, step)
+    page = "<page x='1'><a>{}</a></page><page/>"
+    plain = "<d>" + "".join(page.format(k) for k in range(200)) + "</d>"
+    cases = {
+        plain: True,
+        plain.replace("<a>100</a>", "<page>in</page>"): False,
+        plain.replace("<a>100</a>", "<!-- <page> -->"): False,
+        plain.replace("<a>100</a>", "<!-- pages -->"): True,
+        plain.replace("<a>100</a>", "<![CDATA[</page>]]>"): False,
+        plain.replace("<a>100</a>", "<pages></pages>"): True,
+        plain.replace("<a>100</a></page>", "<a>100</a>"): False,
+    }
+    for text, right in cases.items():
+        (tmp_path / "a.xml").write_text(text)
+        for step in (64, 500, 10_000):
+            assert records.can_split(spark, str(tmp_path / "a.xml"), "page", step) == (right or step == 10_000), (text[:0], step)
+    (tmp_path / "a.xml").write_text(plain)
+    rows = records.numbered(records.scan(spark, str(tmp_path / "a.xml"), split_bytes=500))
+    assert [bytes(r["bytes"]).decode() for r in rows.orderBy("index").collect()] == [page.format(k).removesuffix("<page/>") for k in range(200)]
+
+
 def test_folder_source(spark, tmp_path):
     where = tmp_path / "notes"
     (where / "below").mkdir(parents=True)
