@@ -5,6 +5,7 @@ from __future__ import annotations
 import bz2
 import json
 import os
+import re
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -25,6 +26,7 @@ from ..tables import load
 from .engine import _CHUNKS, _NUMBERED, _PARAGRAPHS, _element, _engine, _escaped, _has, _prefix, _windows
 
 TARGET, INTERVAL = 1024, 10
+_STEP = 1 << 16
 
 
 def _own_folder(spark: SparkSession) -> str:
@@ -159,13 +161,13 @@ def split_file(spark: SparkSession, path: str) -> DataFrame:
     files = {name: _customer_file(spark, path, "", head) for name, head in (("parts", b""), ("whole", _COMMENT))}
     out = None
     for name, file in files.items():
-        scanned = records.scan(spark, file, "xml", XmlConfig("customer"), 4096)
-        rows = records.numbered(scanned).select(F.lit(name).alias("read"), "index", F.md5("bytes").alias("digest"), F.lit(records.can_split(spark, file, "customer", 4096)).alias("split"))
+        scanned = records.scan(spark, file, "xml", XmlConfig("customer"), _STEP)
+        rows = records.numbered(scanned).select(F.lit(name).alias("read"), "index", F.md5("bytes").alias("digest"), F.lit(records.can_split(spark, file, "customer", _STEP)).alias("split"))
         out = rows if out is None else out.unionByName(rows)
     text = _own_folder(spark)
     own = load(spark, path, "documents").where("text is not null and doc_id is not null")
     _write(own.select(F.lit(f"{text}/all.txt").alias("path"), "doc_id", F.concat("text", F.lit("\n\n")).alias("data")), "path", "doc_id", "data")
-    rows = records.numbered(records.scan(spark, f"{text}/all.txt", "txt", TextConfig(TARGET), 4096))
+    rows = records.numbered(records.scan(spark, f"{text}/all.txt", "txt", TextConfig(TARGET), _STEP))
     return out.unionByName(rows.select(F.lit("text").alias("read"), "index", F.md5("bytes").alias("digest"), F.lit(True).alias("split")))
 
 
@@ -269,7 +271,8 @@ def prompt_answers(spark: SparkSession, path: str) -> DataFrame:
     """What the prompt says to lines, in order, over documents."""
     engine = _engine(spark, path).with_preview_config(PreviewConfig(target_bytes=60))
     lines = ["showpreptable", "find museum 3", 'find "museum 2"', "prep 7", "showpreptable 4", "searchpreptable the 2", "spotonpreptable the 1", "get 5", f"get {MAX_INDEX}", "list 2..4", "getfragment 3 the 30", "getfragment 3 zzzqqq", "searchtogetfragment the 2 30", "clearpreptable", "showpreptable", "bogus"]
-    said = [(n, k, text) for n, line in enumerate(lines) for k, text in enumerate(cli.answer(engine, line))]
+    # how often progress is told depends on time
+    said = [(n, k, text) for n, line in enumerate(lines) for k, text in enumerate(t for t in cli.answer(engine, line) if not re.fullmatch(r"\d+ records", t))]
     said += [(len(lines), k, text) for k, text in enumerate(map(str, (cli.search_arguments('"Visual Studio 7"'), cli.search_arguments("a b"), cli.range_arguments(" 3 .. 9"))))]
     return spark.createDataFrame(said, "line bigint, n bigint, text string")
 
@@ -366,7 +369,7 @@ union all select 'text', row_number() over (order by doc_id, n, k) - 1, md5(chun
             _said(0, "0", "'0 previews'"),
             _said(1, "row_number() over (order by index) - 1", "'#' || index", f"from (select index from {_NUMBERED} where {_has('text', 'museum')} order by index limit 3)"),
             _said(2, "row_number() over (order by index) - 1", "'#' || index", f"from (select index from {_NUMBERED} where {_has('text', 'museum')} order by index limit 2)"),
-            f"select 3, count(*) // 10000, 'prepared ' || count(*) || ' records' from {_NUMBERED}",
+            f"select 3, 0, 'prepared ' || count(*) || ' records' from {_NUMBERED}",
             _said(4, "0", _shown("4", _SHORT), f"from {_NUMBERED} where index = 4"),
             _said(4, "1", f"'  <text>: ' || {_SHORT}", f"from {_NUMBERED} where index = 4"),
             _said(5, "row_number() over (order by index) - 1", "'#' || index", f"from (select index from {_NUMBERED} where {_THE} order by index limit 2)"),
