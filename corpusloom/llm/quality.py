@@ -38,9 +38,7 @@ def statistics(texts: DataFrame, key: str = "index", text: str = "text") -> Data
     known = sorted(set(COMMON_WORDS))
     low = F.lower("t")
     s = base.select("key", "t", low.alias("low"), F.filter(F.split("t", "\n"), lambda x: F.length(F.trim(x)) > 0).alias("ls"), F.regexp_extract_all(low, F.lit(_WORD), F.lit(0)).alias("ws"))
-    # every count is taken once, in a projection of its own, since shares use some of them twice
-    counts = s.select(
-        F.col("key").alias(key),
+    taken = F.struct(
         F.length("t").alias("chars"),
         count(_WORD).alias("words"),
         kept(r"\p{L}+").alias("letters"),
@@ -64,6 +62,8 @@ def statistics(texts: DataFrame, key: str = "index", text: str = "text") -> Data
         F.regexp_count(F.regexp_replace("t", r"\[\[[^\[\]]*\]\]|\{\{[^{}]*\}\}", " "), F.lit(r"\p{L}[^\p{L}\p{N}\s.,'’\-_&/\\<>()\[\]{}=*\"^$]\p{L}|\p{L}\p{N}\p{L}")).alias("broken_words"),
         F.size(F.filter("ws", lambda w: w.rlike("^[bcdfghjklmnpqrstvwxz]{4}"))).alias("vowelless"),
     )
+    # generated, every count is taken once: put in place of its name in shares, rules and filters, it would be taken wherever it is used
+    counts = s.select(F.col("key").alias(key), F.inline(F.array(taken)))
     counts = counts.withColumns({"mean_word": F.col("letters") + F.col("digits"), "odd_share": F.col("visible") - F.col("letters") - F.col("digits") - F.col("plain_signs"), "digits_share": F.col("digits"), "line_words": F.col("words")})
     by_words, by_lines, by_signs = ([share(c, b) for c in names.split()] for names, b in (("mean_word symbols_per_word alpha_words common_share plain_words broken_words vowelless", "words"), ("line_words punctuated_lines bullet_lines ellipsis_lines repeated_lines cells", "lines"), ("digits_share odd_share", "visible")))
     return counts.select(key, "chars", "words", "letters", "common_distinct", "lines", "sentence_ends", "separators", "long_words", *by_words, *by_lines, *by_signs)
