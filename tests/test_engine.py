@@ -18,9 +18,9 @@ from corpusloom.operators.service import Service, serve
 from corpusloom.sources import folder, records
 from corpusloom.streaming import folder_stream
 
-BOOKS = b"""<d><page id="7"><author>Ada</author><title>First One</title><year>1970</year></page>
-<page><author>Codd</author><title>Second &amp; Two</title></page>
-<page><author>Ada</author><title>First Again</title><x>hidden</x></page></d>"""
+BOOKS = b"""<d><page id="7"><maker>Ada</maker><title>First One</title><year>1870</year></page>
+<page><maker>Brenna</maker><title>Second &amp; Two</title></page>
+<page><maker>Ada</maker><title>First Again</title><x>hidden</x></page></d>"""
 
 
 @pytest.fixture(scope="module")
@@ -36,7 +36,7 @@ def indexes(df):
 
 def test_xml_engine(spark, xml_path):
     engine = RecordEngine.open(spark, xml_path).with_preview_config(PreviewConfig(stop_element=None))
-    assert engine.get(1).text.startswith("<page><author>Codd")
+    assert engine.get(1).text.startswith("<page><maker>Brenna")
     assert engine.get(3) is None
     assert indexes(engine.list(1, 3)) == [1, 2] and indexes(engine.list(2, 2)) == [] and len(indexes(engine.list())) == 3
     assert indexes(engine.find("first")) == [0, 2] and indexes(engine.find("first", 1)) == [0] and indexes(engine.find("first", 0)) == [0]
@@ -50,13 +50,13 @@ def test_xml_engine(spark, xml_path):
     assert engine.with_checkpoint_interval(2).prep() == 3 == engine.prepared_preview_count
     assert [c["index"] for c in engine.checkpoints().collect()] == [2]
     assert indexes(engine.find("id")) == [] and indexes(engine.find("id", mode="records")) == [0]
-    assert engine.preview_at(1) == [("author", "Codd"), ("title", "Second  Two")]
+    assert engine.preview_at(1) == [("maker", "Brenna"), ("title", "Second  Two")]
     assert indexes(engine.search_preview_indexes("ADA")) == [0, 2]
-    assert [tuple(r) for r in engine.search_to_get_fragment("ada", 5, 512).collect()] == [(0, "Ada First One 1970"), (2, "Ada First Again hidden")]
+    assert [tuple(r) for r in engine.search_to_get_fragment("ada", 5, 512).collect()] == [(0, "Ada First One 1870"), (2, "Ada First Again hidden")]
     assert engine.get_fragment(0, "first", 9) == "Ada First" and engine.get_fragment(0, "nothing") is None and engine.get_fragment(9, "a") is None
     with pytest.raises(InvalidConfiguration):
         engine.search_to_get_fragment("ada", 0)
-    assert engine.previews().select(preview.retained_bytes(F.col("elements"))).first()[0] == len("authorAdatitleFirst Oneyear1970")
+    assert engine.previews().select(preview.retained_bytes(F.col("elements"))).first()[0] == len("makerAdatitleFirst Oneyear1870")
     assert [r["value"]["title"] for r in engine.decode("title string").orderBy("index").collect()][1] == "Second & Two"
     engine.clear_previews()
     assert not engine.is_prepared and engine.prepared_preview_count == 0 and engine.checkpoints().count() == 1
@@ -97,7 +97,7 @@ def test_kept_tables_are_read_by_range(spark):
 def test_default_preview_stops_at_title(spark, xml_path):
     engine = RecordEngine.open(spark, xml_path)
     engine.prep()
-    assert indexes(engine.find("hidden")) == [] and engine.preview_at(0) == [("author", "Ada"), ("title", "First One")]
+    assert indexes(engine.find("hidden")) == [] and engine.preview_at(0) == [("maker", "Ada"), ("title", "First One")]
 
 
 def test_errors_reach_the_caller(spark, tmp_path):
@@ -209,9 +209,9 @@ def test_service(spark, xml_path):
     assert ask("GET", "/local_data/status?corpus=books") == (200, {"corpus": "books", "prepared": False})
     assert ask("POST", "/local_data/search", {"corpus": "books", "query": "ada"})[0] == 409
     engine.prep()
-    status, body = ask("POST", "/local_data/search", {"corpus": "books", "query": "codd"})
-    assert status == 200 and body["results"] == [{"index": 1, "preview": "<author>: Codd\n<title>: Second  Two"}]
-    assert ask("POST", "/local_data/findevidence", {"corpus": "books", "query": "ada", "record_limit": 1})[1]["results"] == [{"index": 0, "record": "Ada First One 1970"}]
+    status, body = ask("POST", "/local_data/search", {"corpus": "books", "query": "brenna"})
+    assert status == 200 and body["results"] == [{"index": 1, "preview": "<maker>: Brenna\n<title>: Second  Two"}]
+    assert ask("POST", "/local_data/findevidence", {"corpus": "books", "query": "ada", "record_limit": 1})[1]["results"] == [{"index": 0, "record": "Ada First One 1870"}]
     assert ask("GET", "/local_data?corpus=books&i=1")[1]["index"] == 1
     assert ask("GET", "/local_data/getevidence?corpus=books&i=0&query=first+one&max_bytes=9")[1] == {"corpus": "books", "query": "first one", "index": 0, "record": "First One"}
     code = lambda *a: (lambda r: (r[0], r[1]["error"]["code"]))(ask(*a))
@@ -230,7 +230,7 @@ def test_service(spark, xml_path):
         assert json.load(r) == {"corpus": "books"}
     asked = urllib.request.Request(f"http://127.0.0.1:{server.server_port}/local_data/search", b'{"corpus": "books", "query": "ada"}')
     with urllib.request.urlopen(asked) as r:
-        assert json.load(r) == {"corpus": "books", "query": "ada", "results": [{"index": 0, "preview": "<author>: Ada\n<title>: First One\n<year>: 1970"}, {"index": 2, "preview": "<author>: Ada\n<title>: First Again\n<x>: hidden"}]}
+        assert json.load(r) == {"corpus": "books", "query": "ada", "results": [{"index": 0, "preview": "<maker>: Ada\n<title>: First One\n<year>: 1870"}, {"index": 2, "preview": "<maker>: Ada\n<title>: First Again\n<x>: hidden"}]}
     server.shutdown()
 
 
@@ -240,7 +240,7 @@ def test_cli(spark, xml_path):
     assert cli.search_arguments('"Visual Studio 7"') == ("Visual Studio", 7) and cli.search_arguments("a b") == ("a b", None)
     assert say("find first 1") == ["#0"] and say("get 9") == ["no such record"] and len(say("list 0..2")) == 2
     assert say("prep 2") == ["prepared 3 records"] and say("searchpreptable first") == ["#0", "#2"]
-    assert say("spotonpreptable codd")[1:] == ["  <author>: Codd", "  <title>: Second  Two"]
+    assert say("spotonpreptable brenna")[1:] == ["  <maker>: Brenna", "  <title>: Second  Two"]
     assert say("showpreptable")[0] == "3 previews" and say("getfragment 0 first one 9") == ["First One"]
     assert say("searchtogetfragment ada 1 3") == ["#0: Ada"] and say("clearpreptable") == ["cleared"] and say("bogus")[0].startswith("unknown")
     with pytest.raises(InvalidConfiguration):
