@@ -1,9 +1,12 @@
 import random
 
+import numpy as np
+import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from corpusloom.functions.words import words
+from corpusloom.llm import neardup
 from corpusloom.llm.neardup import NearConfig, allocate, missing, near_duplicates
 
 
@@ -62,6 +65,23 @@ def test_equals_brute_force(spark):
         assert len(documents) == sum(i is not None and len(words(x or "")) >= max(3, k) for i, x in rows)
 
 
+def test_joined_instead_of_sent(spark, monkeypatch):
+    monkeypatch.setattr(neardup, "MAX_BROADCAST", 0)
+    rows = corpus(9)
+    got = near_duplicates(spark.createDataFrame(rows, "id bigint, text string"), NearConfig(words=3, threshold=0.6, sample=16)).pairs().collect()
+    assert {(r["id_a"], r["id_b"]) for r in got} == brute(rows, 3, 0.6, 1)
+
+
+def test_long_texts_have_parted_partitions():
+    rng = random.Random(2)
+    for n in (400, 3000, 20_000):
+        base = [f"w{rng.randrange(50)}" for _ in range(n)]
+        hashes = np.array([xxhash.xxh64_intdigest(w) for w in base], dtype=np.uint64)
+        bits, first = np.unique(neardup._sequences(hashes, 3), return_index=True)
+        keys = neardup.text_keys(bits, neardup._anchors(hashes, 3, np.empty(0, dtype=np.uint64))[first], 0.6, bits, np.full(len(bits), 9.0))
+        assert len(keys.held) < 40 * n and keys.least >= 1
+
+
 def test_empty_table(spark):
     result = near_duplicates(spark.createDataFrame([], "id bigint, text string"), NearConfig())
     assert result.pairs().count() == 0
