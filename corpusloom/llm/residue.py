@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 from html.entities import html5
@@ -264,23 +265,43 @@ def _html_lines(text: str) -> tuple[str, list[_Tag]]:
 
 _REF = re.compile(r"<ref\b[^<>]*/>|<ref\b[^<>]*>.*?</ref>", re.S | re.I)
 _FILE = re.compile(r"\[\[(?:File|Image|Category|Datei|Kategorie|Fichier|Catégorie|Archivo|Categoría):[^\[\]]*(?:\[\[[^\[\]]*\]\][^\[\]]*)*\]\]", re.I)
-_TEMPLATE = re.compile(r"\{\{([^{}]*)\}\}")
 
 
-def _template(m: re.Match[str]) -> str:
-    name, *rest = m.group(1).split("|")
+def _template(content: str) -> str:
+    name, *rest = content.split("|")
     if name.strip().lower().startswith(("lang", "transl")) and rest:
         return _WIKI_MARK + rest[-1]
-    if "\n" in m.group(1):
+    if "\n" in content:
         return f"\n{_WIKI_MARK}\n" + "".join(f"{_ROW}{r.strip().replace('=', chr(9), 1)}\n" for r in rest if r.strip()) + "\n"
     return _WIKI_MARK
 
 
+_BRACES = re.compile(r"\{\{|\}\}")
+
+
+def _without_templates(text: str) -> str:
+    """Templates of any depth replaced, the inner ones first, in one pass; braces that are not closed stay."""
+    open_: list[list[str]] = [[]]
+    at = 0
+    for m in _BRACES.finditer(text):
+        open_[-1].append(text[at : m.start()])
+        at = m.end()
+        if m.group() == "{{":
+            open_.append([])
+        elif len(open_) > 1:
+            content = "".join(open_.pop())
+            open_[-1].append(_template(content))
+        else:
+            open_[-1].append("}}")
+    open_[-1].append(text[at:])
+    return "{{".join("".join(parts) for parts in open_)
+
+
 def _wiki_lines(text: str) -> str:
     mark = _WIKI_MARK
     text = _FILE.sub(mark, _REF.sub(mark, text))
-    while (new := _TEMPLATE.sub(_template, text)) != text:
-        text = new
+    if "{{" in text:
+        text = _without_templates(text)
     text = re.sub(r"\[\[(?:[^\[\]|]*\|)?([^\[\]|]*)\]\]", rf"{mark}\1", text)
     text = re.sub(r"\[(?:https?|ftp)://\S+?(?:\s+([^\]\n]*))?\](?!\()", lambda m: mark + (m.group(1) or ""), text)
     text = re.sub(r"'{2,5}", mark, text)
@@ -306,6 +327,34 @@ def _markdown_lines(text: str) -> str:
     return re.sub(r"^[ \t]*[-*+][ \t]+(?:\[[ xX]\][ \t]+)?(?=\S)", _ITEM, text, flags=re.M)
 
 
+_ARGUMENTS = re.compile(r"(?<![\w:\\/.])\\[A-Za-z]+\*?(?:\[[^\]\n]*\])?\{|[{}]")
+
+
+def _without_commands(text: str) -> str:
+    """Commands replaced by their arguments, at any depth, in one pass; a command that is not closed stays."""
+    out: list[str] = []
+    open_: list[int] = []  # places in ``out`` of braces, and of what was put for commands
+    whole: dict[int, str] = {}
+    at = 0
+    for m in _ARGUMENTS.finditer(text):
+        out.append(text[at : m.start()])
+        at = m.end()
+        sign = m.group()
+        if sign == "}":
+            command = open_ and open_.pop() in whole
+            out.append("" if command else sign)
+            continue
+        open_.append(len(out))
+        if sign == "{":
+            out.append(sign)
+        else:
+            whole[len(out)] = sign
+            out.append(_LATEX_MARK)
+    for place in open_:
+        out[place] = whole.get(place, "{")
+    return "".join(out) + text[at:]
+
+
 def _latex_lines(text: str) -> str:
     mark = _LATEX_MARK
     text = re.sub(r"\\(?:sub)*section\*?\{([^{}]*)\}", rf"\n\n{_HEAD}{mark}\1\n\n", text)
@@ -313,8 +362,7 @@ def _latex_lines(text: str) -> str:
     text = re.sub(r"^(.*&.*?)\\\\[ \t]*(?:\\hline)?[ \t]*$", lambda m: _ROW + mark + re.sub(r"[ \t]*&[ \t]*", "\t", m.group(1).strip()), text, flags=re.M)
     text = re.sub(r"\\(?:begin|end)\{[^{}]*\}(?:\{[^{}]*\})?", f"\n{mark}\n", text)
     text = re.sub(r"[ \t]*\\item\b[ \t]*", f"\n{_ITEM}{mark}", text)
-    while (new := re.sub(r"(?<![\w:\\/.])\\[A-Za-z]+\*?(?:\[[^\]\n]*\])?\{([^{}]*)\}", rf"{mark}\1", text)) != text:
-        text = new
+    text = _without_commands(text)
     return re.sub(rf"(?<![\w:\\/.])\\(?:{_BARE})(?![A-Za-z\\])[ \t]*", mark, text)
 
 
@@ -371,6 +419,7 @@ class _Builder:
         self.nodes: list[tuple[int, int, int, int]] = []
         self.runs: list[tuple[int, int, str, str, int]] = []
         self.open: list[_Element] = []
+        self.names: Counter[str] = Counter()  # of the open elements
         self.marks = 0
         self.block = self.line = 0
         self.kind = ""
@@ -460,7 +509,7 @@ class _Builder:
             return
         self.flush()
         if tag.closing:
-            if any(e.name == tag.name for e in self.open):
+            if self.names[tag.name]:
                 while self.close().name != tag.name:
                     pass
             else:
@@ -476,9 +525,11 @@ class _Builder:
             if name in _HOLDERS:
                 break
         self.open.append(_Element(tag.name, len(self.runs), bit))
+        self.names[tag.name] += 1
 
     def close(self) -> _Element:
         e = self.open.pop()
+        self.names[e.name] -= 1
         own = e.digest.intdigest()
         # a word or two set off within a sentence are no template, however often they are
         if e.words >= 2 or e.words and (e.name in _PARTING or e.name in _LIKE or e.name in _HEADINGS):
