@@ -18,11 +18,13 @@ from pyspark.sql import functions as F
 from ..config import CHECKPOINT_INTERVAL, EVIDENCE_BYTES, EVIDENCE_RECORDS, PROGRESS_STEP, PreviewConfig, TextConfig, XmlConfig, checkpoint_interval
 from ..errors import InvalidConfiguration, NotPrepared, raise_kind
 from ..functions import evidence, matching, preview
-from ..session import written
+from ..session import forget, written
 from ..sources import folder, records
 
 MAX_INDEX = (1 << 63) - 1
 CHECKPOINTS = "index bigint, position bigint"
+#: Records that are asked for by number.
+FEW = 1000
 
 
 @dataclass(frozen=True)
@@ -122,8 +124,12 @@ class RecordEngine:
         self._count = 0
 
     @classmethod
-    def open(cls, spark: SparkSession, path: str, record_element: str = "page", form: str | None = None, max_record_bytes: int | None = None, target_record_bytes: int | None = None) -> RecordEngine:
-        """A file (``.txt`` is text, else XML; either may end in ``.bz2``), or a folder of text files."""
+    def open(cls, spark: SparkSession, path: str, record_element: str = "page", form: str | None = None, max_record_bytes: int | None = None, target_record_bytes: int | None = None, keep: bool = False) -> RecordEngine:
+        """A file (``.txt`` is text, else XML; either may end in ``.bz2``), or a folder of text files.
+
+        With ``keep`` a file is parsed once, now, into a Parquet table in the shared folder, which all else reads by index; else it is parsed whenever
+        all its records are asked for.
+        """
         if os.path.isdir(path):
             source = folder.FolderSource(spark, path, TextConfig(target_record_bytes) if target_record_bytes else TextConfig())
             return cls.over_folder(source)
@@ -133,6 +139,11 @@ class RecordEngine:
         else:
             config = TextConfig(target_record_bytes) if target_record_bytes is not None else TextConfig()
         scanned = _checked(lambda: records.scan(spark, path, form, config))
+        if keep:
+            parsed = _checked(lambda: written(scanned))
+            rows = written(records.numbered(parsed).select("index", "bytes", "position").repartitionByRange("index").sortWithinPartitions("index"))
+            forget(parsed)
+            return cls(rows, form, spark)
         rows = scanned.withColumn("index", F.col("local")) if records.is_single(path) else records.numbered(scanned)
         plain = form == "xml" and records.is_single(path) and not path.lower().endswith(".bz2")
         return cls(rows.select("index", "bytes", "position"), form, spark, file=(path, config) if plain else None)
@@ -321,6 +332,20 @@ class RecordEngine:
         if record_limit <= 0 or max_bytes <= 0:
             raise InvalidConfiguration("record limit and max_bytes must be greater than zero")
         hits = self.search_preview_indexes(query, record_limit)
-        own = self.records().select("index", "bytes").join(hits, "index", "left_semi")
+        if record_limit <= FEW:
+            # as many numbers as were asked for: they are pushed down to a table, and sought in a file
+            wanted = [r["index"] for r in hits.collect()]
+            own = self._sought(wanted) if self._file is not None and len(wanted) <= EVIDENCE_RECORDS else self.records().select("index", "bytes").where(F.col("index").isin(wanted))
+        else:
+            own = self.records().select("index", "bytes").join(hits, "index", "left_semi")
         found = evidence.fragments(own, query, max_bytes, self.form)
+        if record_limit <= FEW:  # computed once, and of as many bytes as were asked for
+            found = self._spark.createDataFrame(_checked(found.collect), found.schema)
+        else:
+            found = _checked(lambda: written(evidence.fragments(own, query, max_bytes, self.form)))
         return _raise_first(found).where("record is not null").orderBy("index")
+
+    def _sought(self, wanted: list[int]) -> DataFrame:
+        """index, bytes of a few records, one by one."""
+        rows = [(i, r.bytes) for i in wanted if (r := self.get(i)) is not None]
+        return self._spark.createDataFrame(rows, "index bigint, bytes binary")

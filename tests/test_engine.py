@@ -78,6 +78,29 @@ def test_records_are_sought_by_checkpoint(spark, tmp_path, monkeypatch):
         cut.get(24)
 
 
+def test_kept_files_are_parsed_once(spark, tmp_path):
+    path = tmp_path / "pages.xml"
+    path.write_bytes(b"<d>" + b"".join(b"<page>word %d</page>" % k for k in range(300)) + b"</d>")
+    engine = RecordEngine.open(spark, str(path), keep=True).with_preview_config(PreviewConfig(stop_element=None))
+    path.unlink()
+    assert engine.count() == 300 and engine.get(299).text == "<page>word 299</page>" and engine.get(300) is None
+    assert indexes(engine.list(7, 9)) == [7, 8] and indexes(engine.find("77")) == [77]
+    engine.prep()
+    assert [c["index"] for c in engine.checkpoints().orderBy("index").collect()] == [100, 200, 300]
+    with pytest.raises(InvalidConfiguration, match="inside record"):
+        path.write_bytes(b"<d><page>cut")
+        RecordEngine.open(spark, str(path), keep=True)
+
+
+def test_many_records_are_joined(spark, monkeypatch):
+    rows = spark.createDataFrame([(k, f"a word {k}".encode()) for k in range(50)], "index bigint, bytes binary")
+    engine = RecordEngine(rows, "txt", spark)
+    engine.prep()
+    few = [tuple(r) for r in engine.search_to_get_fragment("word", 20, 6).collect()]
+    monkeypatch.setattr("corpusloom.operators.engine.FEW", 5)
+    assert few == [tuple(r) for r in engine.search_to_get_fragment("word", 20, 6).collect()] and len(few) == 20
+
+
 def test_progress_is_told(spark):
     rows = spark.range(0, 60_000, 1, 6).select(F.col("id").alias("index"), F.lit(b"x").alias("bytes"))
     told = []
