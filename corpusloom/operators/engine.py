@@ -213,14 +213,15 @@ class RecordEngine:
         return None if row is None or row["bytes"] is None else Record(index, bytes(row["bytes"]))
 
     def _from_checkpoint(self, index: int) -> DataFrame | None:
-        """Records from the last checkpoint up to ``index``, read by a seek, where there is one."""
+        """Records from the last checkpoint, or the beginning of a small file, up to ``index``, read by a seek."""
         if self._file is None:
             return None
         point = self._checkpoints.where((F.col("index") <= index) & F.col("position").isNotNull()).orderBy(F.desc("index")).first()
-        if point is None:
+        if point is None and index >= self._interval and not records.is_single(self._file[0]):
             return None
-        rows = records.scan_at(self._spark, *self._file, point["position"], index - point["index"] + 1)
-        return rows.select((F.col("local") + point["index"]).alias("index"), "bytes")
+        position, first = (0, 0) if point is None else (point["position"], point["index"])
+        rows = records.scan_at(self._spark, *self._file, position, min(index - first + 1, MAX_INDEX))
+        return rows.select((F.col("local") + first).alias("index"), "bytes")
 
     def list(self, start: int | None = None, end: int | None = None) -> DataFrame:
         """index, bytes of records from ``start`` up to but without ``end``; all without bounds."""
